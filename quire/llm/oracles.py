@@ -14,6 +14,13 @@ SELECT doc_id, keep_id, group_size, nth = 1 AS kept, d AS text_sha256 FROM r
 """
 
 
+WARC = """
+WITH d AS (SELECT page_id, coalesce(html, '') AS h FROM pages), k AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest FROM d),
+r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS best FROM k)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN best <> page_id THEN best END AS refers_to FROM r
+"""
+
+
 def quality_sql(table: str = "documents") -> str:
     """The measurements of each document, base_failed, kept and fail_bits."""
     rules = " | ".join(f"(CASE WHEN {rule} THEN {1 << k} ELSE 0 END)" for k, rule in enumerate(quality.RULES.values()))
@@ -54,4 +61,4 @@ SELECT doc_id, size, source_size, target, (rounds * size + least(greatest(floor(
 
 
 def sql() -> dict[str, str]:
-    return {"op2_exact_dedup": EXACT_DEDUP, "op9_quality_rules": quality_sql(), "op10_mixing": mixing_sql()}
+    return {"op2_exact_dedup": EXACT_DEDUP, "op4_warc": WARC, "op9_quality_rules": quality_sql(), "op10_mixing": mixing_sql()}

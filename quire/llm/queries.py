@@ -9,8 +9,20 @@ from pyspark.sql import functions as F
 
 from quire.llm import oracles
 from quire.llm.exact_dedup import exact_dedup
+from quire.llm.html_extract import extract_pages
 from quire.llm.mixing import mix
+from quire.llm.packing import pack
 from quire.llm.quality import apply_policy, quality_ledger
+from quire.llm.secrets import scan_secrets
+from quire.llm.simhash import near_dedup
+from quire.llm.warc import warc_round_trip
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +34,26 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", F.col("group_size").cast("long"), "kept", "text_sha256")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = apply_policy(quality_ledger(_read(spark, sf_dir, "documents").select("doc_id", "text")))
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
