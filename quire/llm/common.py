@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,13 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(table: DataFrame) -> DataFrame:
+    """table, a written one; asks the JVM to let go of shuffles that nothing needs any more, so their files do not pile up."""
+    gc.collect()
+    table.sparkSession.sparkContext._jvm.System.gc()
+    return table
+
+
 def without_white(text: Column) -> Column:
     """text without any character of WHITE; each replace is a plain byte scan."""
     for c in WHITE:

@@ -21,6 +21,20 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN best <> page_id THEN 'r
 """
 
 
+LINE_DEDUP = rf"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, no, ls[no] AS line, list_distinct(regexp_extract_all(ls[no], '{WORD}')) AS s FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS no FROM d)),
+w AS (SELECT *, row_number() OVER (ORDER BY doc_id, no) AS pos, len(s) AS n FROM l WHERE len(s) > 0),
+u AS (SELECT pos, n, unnest(s) AS tok FROM w), f AS (SELECT tok, count(*) AS df FROM u GROUP BY tok),
+p AS (SELECT pos, n, tok FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY df, tok) AS i FROM u JOIN f USING (tok)) WHERE i <= n - (4 * n + 4) // 5 + 1),
+c AS (SELECT DISTINCT a.pos AS x, b.pos AS y FROM p a JOIN p b ON a.tok = b.tok AND a.pos < b.pos AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+g AS (SELECT DISTINCT y FROM c JOIN w a ON a.pos = x JOIN w b ON b.pos = y WHERE 9 * len(list_intersect(a.s, b.s)) >= 4 * (a.n + b.n)),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.y) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.no) FILTER (g.y IS NULL), '') AS kept
+  FROM l LEFT JOIN w ON l.doc_id = w.doc_id AND l.no = w.no LEFT JOIN g ON g.y = w.pos GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN k.kept END AS text FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
 def quality_sql(table: str = "documents") -> str:
     """The measurements of each document, base_failed, kept and fail_bits."""
     rules = " | ".join(f"(CASE WHEN {rule} THEN {1 << k} ELSE 0 END)" for k, rule in enumerate(quality.RULES.values()))
@@ -61,4 +75,4 @@ SELECT doc_id, size, source_size, target, (rounds * size + least(greatest(floor(
 
 
 def sql() -> dict[str, str]:
-    return {"op2_exact_dedup": EXACT_DEDUP, "op4_warc": WARC, "op9_quality_rules": quality_sql(), "op10_mixing": mixing_sql()}
+    return {"op1_line_dedup": LINE_DEDUP, "op2_exact_dedup": EXACT_DEDUP, "op4_warc": WARC, "op9_quality_rules": quality_sql(), "op10_mixing": mixing_sql()}

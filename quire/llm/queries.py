@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from quire.llm import oracles
 from quire.llm.exact_dedup import exact_dedup
 from quire.llm.html_extract import extract_pages
+from quire.llm.line_dedup import dedup_lines
 from quire.llm.mixing import mix
 from quire.llm.packing import pack
 from quire.llm.quality import apply_policy, quality_ledger
 from quire.llm.secrets import scan_secrets
 from quire.llm.simhash import near_dedup
+from quire.llm.suffix_dedup import remove_repeats
 from quire.llm.warc import warc_round_trip
 
 
@@ -29,6 +31,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", F.col("group_size").cast("long"), "kept", "text_sha256")
@@ -50,6 +57,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
