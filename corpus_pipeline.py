@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm.common import written
+from quire.llm.line_dedup import dedup_lines
 from quire.llm.mixing import apply_mix
+from quire.llm.packing import pack
 from quire.llm.quality import apply_policy, quality_ledger
+from quire.llm.queries import tokenizer_path
+from quire.llm.simhash import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,19 +18,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return apply_policy(quality_ledger(docs)).filter("kept").select(*docs.columns)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line is similar to; one that loses every line stays, empty."""
+    return dedup_lines(docs).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return drop_near_copies(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return apply_mix(docs)
 
 
-STAGES = [("quality rules", quality), ("mixing", mixing)]
-#: Packing has no SQL.
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("SimHash near-dedup", near), ("mixing to target weights", mixing), ("best-fit packing", packing)]
+#: Fingerprints and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quire.llm.common import written
-
+    """All stages over documents; each but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

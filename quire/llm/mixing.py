@@ -83,21 +83,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how: object) -> DataFrame:
-    """The mixed corpus: rows of docs as often as the mix takes them whole, and the one row of a source that the budget cuts with its first words.
+    """The mixed corpus: rows of docs as often as the mix takes them whole, and the row of a source that the budget cuts with its first words.
 
-    Rows are matched to their shares by id; rows that repeat an id share out the sum of what the mix takes of them: each stays as often as the first of them.
+    Columns are those of docs; n_chars, where there is one, follows a cut text. Rows match their shares by id, source and size, and
+    rows that repeat all three one by one. Rows of which nothing is taken, those without words included, are left out.
     """
     shares = mix(docs, id_col, text_col, source_col, **how)
     size, taken, nth = (free_name(docs, f"_{x}") for x in ("size", "taken", "nth"))
-    shares = shares.groupBy(F.col(id_col).alias("_id")).agg(F.max("size").alias(size), F.max("taken").alias(taken))
-    rows = docs.join(shares, F.col(id_col).eqNullSafe(F.col("_id"))).filter(F.col(taken) > 0)
-    # one entry for each whole copy (-1), and one with the words left over
+    numbered = lambda df, keys, by: df.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(by)))
+    shares = shares.select(F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.col("size").alias("_z"), F.col("taken").alias(taken))
+    shares = numbered(shares, ["_i", "_s", "_z"], F.col(taken).desc()).withColumnRenamed(nth, "_n")
+    rows = numbered(docs.withColumn(size, word_count(F.col(text_col))), [id_col, source_col, size], F.lit(1))
+    same = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col(size) == F.col("_z")) & (F.col(nth) == F.col("_n"))
+    rows = rows.join(shares, same).filter(F.col(taken) > 0)
+    # an entry for each whole copy (-1), and one with the number of words left over
     whole, part = F.floor(F.col(taken) / F.col(size)).cast("int"), (F.col(taken) % F.col(size)).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn(nth, F.explode(copies))
     pieces = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(F.col(nth) < 0, F.col(text_col)).otherwise(F.array_join(F.slice(pieces, 1, F.col(nth)), ""))
-    rows = rows.withColumn(text_col, text)
+    rows = rows.withColumn(text_col, F.when(F.col(nth) < 0, F.col(text_col)).otherwise(F.array_join(F.slice(pieces, 1, F.col(nth)), "")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(F.col(nth) < 0, F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

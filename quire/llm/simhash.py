@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import salt_of, salted_lookup, written
+from quire.llm.common import free_name, salt_of, salted_lookup, written
 from quire.llm.components import components
 
 BITS = 64
@@ -53,16 +53,16 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return sum(1 << k for k in np.flatnonzero(2 * counts > len(hashes)).tolist())
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fingerprint long) of every row; null texts count as empty."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fingerprint", T.LongType())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, fingerprint long) of every row; null texts count as empty."""
+    schema = T.StructType([*(docs.schema[c] for c in (id_col, *carry)), T.StructField("fingerprint", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [_signed(fingerprint(x.as_py() or "", shingle)) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], [id_col, "fingerprint"])
+            prints = [_signed(fingerprint(x.as_py() or "", shingle)) for x in batch.columns[-1]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.int64())], schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, *carry, text_col).mapInArrow(run, schema)
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -86,18 +86,31 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return shared.select(F.explode("all").alias("u"), "v").filter("u <> v").distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fingerprint as 16 hex digits, component_id) of every row of docs.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, fingerprint as 16 hex digits, component_id) of every row of docs.
 
     component_id is the smallest id among all rows reachable by links between fingerprints that differ in at most two bits; rows with
     equal fingerprints, texts without words included, are one. Null texts count as empty, null ids never name a component
     (a component of null ids alone has a null one), and rows that repeat an id are kept. An empty table gives an empty result.
     """
-    prints = written(fingerprints(docs, id_col, text_col, shingle))
+    prints = written(fingerprints(docs, id_col, text_col, shingle, carry))
     distinct = written(prints.groupBy(F.col("fingerprint").alias("f")).agg(F.min(id_col).alias("least")))
     roots = components(links(distinct))
     labelled = written(distinct.join(roots, distinct.f == roots.node, "left").select("f", "least", F.coalesce("root", "f").alias("root")))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = salted_lookup(labelled, smallest, ["root"], salt_of(F.col("f"), salts=64)).select(F.col("f").alias("fingerprint"), "component_id")
     out = salted_lookup(prints, written(named), ["fingerprint"], salt_of(F.col(id_col), salts=64))
-    return out.select(id_col, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select(id_col, *carry, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """docs with one row of each component: that of the smallest id (of the null id, where a component has no other).
+
+    Where several rows have that id, one of each distinct text of them in the component stays. Columns are those of docs.
+    """
+    own = free_name(docs, "_text")
+    docs_ = docs.withColumn(own, F.xxhash64(text_col))
+    first = near_dedup(docs_, id_col, text_col, shingle, (own,)).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+    first = first.select(F.col(id_col).alias("_id"), F.col(own).alias("_of")).distinct()
+    rows = docs_.join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(own) == F.col("_of")), "left_semi")
+    return rows.dropDuplicates([id_col, own]).select(*docs.columns)
