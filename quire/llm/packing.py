@@ -9,6 +9,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -20,33 +21,52 @@ LENGTH = 4096
 END_ID = 1
 #: Pieces that one task packs; the sequences it leaves part-filled are a handful.
 GROUP = 100_000
-#: Encoded words that a worker keeps; beyond that it starts afresh.
-CACHE = 300_000
+#: Encoded words in one of the two generations that a worker keeps, and texts encoded at once.
+CACHE, TEXTS = 400_000, 128
 _PACKED = (("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("sequence_id", "long"), ("offset", "long"))
 
 
-def encoder(path: str):
-    """A function text -> ids as little-endian 32-bit bytes, equal to encoding the whole text.
+class Encoder:
+    """Texts -> ids as little-endian 32-bit bytes, equal to encoding the whole texts.
 
-    The tokenizer drops white space and no token spans it, so words are encoded one by one, each once.
+    The tokenizer drops white space and no token spans it, so each word is encoded once and kept. Words kept fall in two
+    generations of at most CACHE; when the young one is full it becomes the old one, and old words that come again move back.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer, known, words_of = Tokenizer.from_file(path), {}, re.compile(WORD).findall
-
-    def encode(text: str) -> bytes:
-        words = words_of(text)
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        return b"".join([known[w] for w in words])
-
-    return encode
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.young, self.old, self.words_of = Tokenizer.from_file(path), {}, {}, re.compile(WORD).findall
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        # str.split also splits at wide spaces, which the tokenizer drops, and at four controls, which it does not
+        words = [self.words_of(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        get = self.young.get
+        found = [list(map(get, ws)) for ws in words]
+        new = {w for ws, ids in zip(words, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}
+        fresh = []
+        for w in new:
+            if (x := self.old.get(w)) is not None:
+                self.young[w] = x
+            else:
+                fresh.append(w)
+        if fresh:
+            self._learn(fresh)
+        return [b"".join([get(w) if x is None else x for w, x in zip(ws, ids, strict=True)] if None in ids else ids) for ws, ids in zip(words, found, strict=True)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encodes words laid side by side; offsets tell whose the tokens are."""
+        encoded = self.tokenizer.encode(" ".join(fresh), add_special_tokens=False)
+        starts = np.zeros(len(fresh), np.int64)
+        np.cumsum([len(w) + 1 for w in fresh[:-1]], out=starts[1:])
+        ids = np.array(encoded.ids, "<u4").tobytes()
+        at = np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0]
+        edges = (4 * np.searchsorted(at, starts)).tolist() + [len(ids)]
+        for k, w in enumerate(fresh):
+            self.young[w] = ids[edges[k] : edges[k + 1]]
 
 
 class Bins:
@@ -110,15 +130,17 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T._parse_datatype_string(k)) for n, k in _PACKED[:4])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), array("I", [END_ID]).tobytes()
+        encoder, end = Encoder(tokenizer), array("I", [END_ID]).tobytes()
         for batch in batches:
             ids, rows = batch.column(0), ([], [], [], [], [])
-            for at, text in enumerate(batch.column(1)):
-                buf = encode(text.as_py() or "") + end
-                for k, start in enumerate(range(0, len(buf), 4 * length)):
-                    part = buf[start : start + 4 * length]
-                    for column, v in zip(rows, (at, k, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(v)
+            for first in range(0, batch.num_rows, TEXTS):
+                texts = [x or "" for x in batch.column(1).slice(first, TEXTS).to_pylist()]
+                for at, buf in enumerate(encoder.encode(texts), first):
+                    buf += end
+                    for k, start in enumerate(range(0, len(buf), 4 * length)):
+                        part = buf[start : start + 4 * length]
+                        for column, v in zip(rows, (at, k, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            column.append(v)
             columns = [ids.take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "piece", "start", "length", "ids_crc32"])
 
