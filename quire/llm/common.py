@@ -58,13 +58,15 @@ def salt_of(*cols: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
 
 
-def salted_lookup(rows: DataFrame, table: DataFrame, keys: list[str], salt: Column, salts: int = 64, how: str = "inner") -> DataFrame:
+def salted_lookup(rows: DataFrame, table: DataFrame, keys: list[str], salt: Column, how: str = "inner", keep_salt: bool = False) -> DataFrame:
     """rows joined with table (one row a key) on keys, safe where one key holds a large share of rows.
 
-    The distinct (key, salt) cells of rows, at most `salts` a key, take the key's values from
+    The distinct (key, salt) cells of rows, at most as many a key as there are salts, take the key's values from
     table first; rows then meet their cell on (key, salt). No task reads more than about
-    1 / salts of a hot key's rows. Keys that are null match nothing.
+    1 / salts of a hot key's rows. Keys that are null match nothing. With keep_salt the result
+    has _salt, and is partitioned by the keys and it.
     """
     rows = rows.withColumn("_salt", salt)
     cells = rows.select(*keys, "_salt").distinct().join(table, keys)
-    return rows.join(cells, [*keys, "_salt"], how).drop("_salt")
+    out = rows.join(cells, [*keys, "_salt"], how)
+    return out if keep_salt else out.drop("_salt")

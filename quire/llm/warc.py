@@ -140,12 +140,12 @@ def _decided(pages: DataFrame, id_col: str, url_col: str, html_col: str, least:
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
     # a payload's size is part of the key, so small ones never meet a response
     best = rows.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    rows = salted_lookup(rows, best, ["digest", "size"], salt_of(F.col("page_id"), F.col("url"), salts=64), how="left")
-    # of rows that repeat the id of the response one is the response
-    nth = F.row_number().over(Window.partitionBy("digest", "size", "page_id").orderBy(F.lit(1)))
+    rows = salted_lookup(rows, best, ["digest", "size"], salt_of(F.col("page_id"), salts=64), how="left", keep_salt=True)
+    # of rows that repeat the id of the response one is the response; they share a salt, so payloads do not move again
+    nth = F.row_number().over(Window.partitionBy("digest", "size", "_salt", "page_id").orderBy(F.lit(1)))
     alone = F.col("best").isNull() | (F.col("page_id").eqNullSafe(F.col("best")) & (F.col("_nth") == 1))
     rows = rows.withColumn("_nth", F.when(F.col("page_id").eqNullSafe(F.col("best")), nth).otherwise(0))
-    return rows.withColumns({"refers_to": F.when(~alone, F.col("best")), "payload": F.when(alone, F.col("payload"))}).drop("best", "_nth")
+    return rows.withColumns({"refers_to": F.when(~alone, F.col("best")), "payload": F.when(alone, F.col("payload"))}).drop("best", "_nth", "_salt")
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = REVISIT_BYTES, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
