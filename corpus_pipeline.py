@@ -8,14 +8,14 @@ from quire.llm.common import written
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.mixing import apply_mix
 from quire.llm.packing import pack
-from quire.llm.quality import apply_policy, quality_ledger
+from quire.llm.quality import apply_policy, stored_ledger
 from quire.llm.queries import tokenizer_path
 from quire.llm.simhash import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
-    return apply_policy(quality_ledger(docs)).filter("kept").select(*docs.columns)
+    return apply_policy(stored_ledger(docs)).filter("kept").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

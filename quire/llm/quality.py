@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, free_name, without_white
+from quire.llm.common import WORD, free_name, without_white, written
 
 #: Words in a window whose repeats count.
 WINDOW = 5
@@ -82,6 +82,14 @@ def quality_ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("fail_bits", mask).select(*docs.columns, *MEASURES, "fail_bits")
 
 
+def stored_ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """quality_ledger(docs) as a table in the shared folder: rules are evaluated once, and filters on verdicts never pull them apart.
+
+    (Over the ledger's plan itself the optimizer pushes a filter below the measurements, which repeats them inside one another.)
+    """
+    return written(quality_ledger(docs, text_col))
+
+
 def apply_policy(ledger: DataFrame, version: str = CURRENT) -> DataFrame:
     """The ledger with base_failed and kept, the verdict of a policy; no text is read again."""
     fails = lambda rules: F.col("fail_bits").bitwiseAND(F.lit(bits(rules)).cast("long")) != 0
