@@ -459,6 +459,32 @@ def abbreviations(spark, at):
     return terms.abbreviations(doc_blocks(spark, at))
 
 
+@query()
+def masked_text(spark, at):
+    from quire.functions.masking import mask_udf
+
+    rows = doc_blocks(spark, at).select("block_id", mask_udf()("source_text").alias("m"))
+    return rows.filter(F.size("m.spans") > 0).select("block_id", "m.text", F.size("m.spans").alias("n_spans"))
+
+
+@query()
+def stated_numbers(spark, at):
+    from pyspark.sql import types as T
+
+    from quire.functions.numbers import values
+    from quire.functions.udf import vectorized
+
+    found = vectorized(values, T.ArrayType(T.StringType()))
+    return doc_blocks(spark, at).filter(F.col("source_text").rlike("[0-9]")).select("block_id", F.array_join(found("source_text"), " ").alias("numbers"))
+
+
+@query(r"SELECT page_id, length(regexp_replace(regexp_replace(html, '(?is)<script.*?</script\s*>', '', 'g'), '(?is)<style.*?</style\s*>', '', 'g')) AS n FROM pages")
+def html_sanitize(spark, at):
+    from quire.functions.cleaning import sanitized
+
+    return table(spark, at, "pages").select("page_id", F.length(sanitized(F.col("html"))).cast("long").alias("n"))
+
+
 _BOX = """x AS (SELECT l_orderkey % 97 AS page, (l_partkey % 20)::VARCHAR AS t, l_orderkey AS block_id, (l_partkey % 50)::DOUBLE AS x0, (l_suppkey % 50)::DOUBLE AS y0, (l_partkey % 50 + l_quantity)::DOUBLE AS x1, (l_suppkey % 50 + l_quantity)::DOUBLE AS y1 FROM lineitem WHERE l_linenumber = 1)"""
 
 
