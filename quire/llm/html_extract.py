@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z][^<>]*>?""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ABOUT = re.compile(r"(?:has|with|no|without|is|show|hide)[-_]")  # such names speak of something else than the element's own text
 _SPACE = re.compile(r"\s+")
 
 RAW = frozenset("script style template noscript textarea select iframe svg math title object canvas".split())
@@ -36,10 +37,12 @@ GOOD = frozenset("article articlebody content post entry story main maincontent
 BAD = frozenset(
     "ad ads adv advert adverts advertisement adsense banner promo promotion sponsor sponsored sponsors nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "footer foot masthead sidebar side aside rail widget widgets related recommended recommendation recommendations more share sharing social follow "
-    "comment comments commentlist reply replies respond disqus discussion reader cookie cookies consent gdpr notice notices alert warning popup modal overlay "
+    "comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices alert warning popup modal overlay "
     "subscribe subscription newsletter signup login search form copyright legal disclaimer pagination pager tags toolbar skip complementary contentinfo hidden".split()
 )
-LEAF_ODDS = {"p": 1.0, "h1": 1.0, "h2": 0.7, "h3": 0.7, "h4": 0.5, "blockquote": 1.0, "pre": 1.0, "li": -0.5, "dt": -0.3, "dd": -0.3, "tr": -0.3, "td": -0.3, "div": -0.3}
+#: A header with such a name holds the article's title.
+TITLED = frozenset("article post entry story content".split())
+LEAF_ODDS = {"p": 1.5, "h1": 1.0, "h2": 0.7, "h3": 0.7, "h4": 0.5, "blockquote": 1.0, "pre": 1.0, "li": -0.5, "dt": -0.3, "dd": -0.3, "tr": -0.3, "td": -0.3, "div": -0.3}
 #: Smoothness: next block with the same parent, next block elsewhere, previous block under the same grandparent.
 SAME, NEXT, NEAR = 1.5, 0.3, 0.5
 
@@ -56,8 +59,10 @@ def _container_odds(tag: str, attributes: str, within: float) -> float:
     if tag == "header" and within > 2:
         odds = -1.5  # a header inside the article may hold its title
     if attributes:
-        words = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1] or m[2] or m[3] or "").lower())}
-        if words & BAD and tag not in ("html", "body", "article", "main"):
+        names = [re.sub(r"(?<=[a-z])(?=[A-Z])", "-", n).lower() for m in _NAMES.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").split()]
+        words = {w for n in names if not _ABOUT.match(n) for w in re.split(r"[^a-z0-9]+", n)}
+        bad = words & BAD or ("header" in words and not words & TITLED)
+        if bad and tag not in ("html", "body", "article", "main"):
             odds -= 10.0
         elif words & GOOD and odds >= 0 and tag not in ("html", "body"):
             odds += 2.5
