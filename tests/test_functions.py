@@ -16,7 +16,6 @@ def one(spark, column, text="", **more):
     return row.select(column.alias("x")).first()["x"]
 
 
-T = F.col("t")
 VERDICTS = [
     ("", "empty"), (None, "empty"), ("— · —", "placeholder"), ("https://a.example/x", "identifier_only"), ("978-3-16-148410-0", "identifier_only"),
     ("0f " * 40, "hexdump"), ("\n".join(f"word{k}" for k in range(12)), "index_list"), ("A plain sentence.", "translate"),
@@ -25,16 +24,16 @@ VERDICTS = [
 
 def test_verdict(spark):
     rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(VERDICTS)], "k int, t string")
-    got = {r.k: r.v for r in rows.select("k", tx.verdict(T).alias("v")).collect()}
+    got = {r.k: r.v for r in rows.select("k", tx.verdict(F.col("t")).alias("v")).collect()}
     assert got == {k: f"verdict:{v}" for k, (_, v) in enumerate(VERDICTS)}
 
 
 def test_shapes(spark):
     cases = {
-        "page": (tx.is_bare_page_number(T), ["12", " xiv "], ["12345", "page 1", ""]), "heading": (tx.looks_like_heading(T), ["A title"], ["Ends.", "- item", "x" * 90]),
-        "math": (tx.is_display_math(T), ["$$x$$"], ["$$$", "$x$"]), "listing": (tx.looks_like_listing(T), ["def f(x)", "class Net(Base):"], ["class imbalance: it"]),
-        "isbn": (tx.is_valid_isbn(T), ["978-3-16-148410-0", "0-306-40615-2", "0-8044-2957-X"], ["978-3-16-148410-1", "123", ""]),
-        "table": (tx.is_markdown_table(T), ["|a|b|\n|-|-|\n|1|2|"], ["a|b", "|a|b|\n|1|2|"]), "gutenberg": (tx.is_gutenberg_marker(T), ["[Illustration: x]"], ["Illustration"]),
+        "page": (tx.is_bare_page_number(F.col("t")), ["12", " xiv "], ["12345", "page 1", ""]), "heading": (tx.looks_like_heading(F.col("t")), ["A title"], ["Ends.", "- item", "x" * 90]),
+        "math": (tx.is_display_math(F.col("t")), ["$$x$$"], ["$$$", "$x$"]), "listing": (tx.looks_like_listing(F.col("t")), ["def f(x)", "class Net(Base):"], ["class imbalance: it"]),
+        "isbn": (tx.is_valid_isbn(F.col("t")), ["978-3-16-148410-0", "0-306-40615-2", "0-8044-2957-X"], ["978-3-16-148410-1", "123", ""]),
+        "table": (tx.is_markdown_table(F.col("t")), ["|a|b|\n|-|-|\n|1|2|"], ["a|b", "|a|b|\n|1|2|"]), "gutenberg": (tx.is_gutenberg_marker(F.col("t")), ["[Illustration: x]"], ["Illustration"]),
     }
     rows = spark.createDataFrame([(n, t, ok) for n, (_, yes, no) in cases.items() for ok, ts in ((True, yes), (False, no)) for t in ts], "n string, t string, ok boolean")
     for name, (column, _, _) in cases.items():
@@ -42,17 +41,17 @@ def test_shapes(spark):
 
 
 def test_normalisation(spark):
-    assert one(spark, tx.normalized(T), "of­ﬁce ﬂow​") == "office flow"
-    assert one(spark, tx.collapsed(T), " a　 b\n\nc ") == "a b c"
-    assert one(spark, tx.xml_safe(T), "a\x01b퟿") == "ab퟿"
+    assert one(spark, tx.normalized(F.col("t")), "of­ﬁce ﬂow​") == "office flow"
+    assert one(spark, tx.collapsed(F.col("t")), " a　 b\n\nc ") == "a b c"
+    assert one(spark, tx.xml_safe(F.col("t")), "a\x01b퟿") == "ab퟿"
     assert one(spark, tx.joined(F.array(F.lit("co-"), F.lit("op"), F.lit("中"), F.lit("文"))), "x") == "coop 中文"
 
 
 def test_scripts_and_tokens(spark):
-    assert one(spark, script.share(T, "han"), "中文 ab") == 0.5
+    assert one(spark, script.share(F.col("t"), "han"), "中文 ab") == 0.5
     for text, want in (("abcdefgh", 2), ("", 0), (None, 0), ("中文", 2), ("привет", 2)):
-        assert one(spark, script.token_count(T), text) == want
-    assert one(spark, script.math_density(T), "plain words only") == "none" and one(spark, script.math_density(T), "x = 1 ∑ ∫ α") == "high"
+        assert one(spark, script.token_count(F.col("t")), text) == want
+    assert one(spark, script.math_density(F.col("t")), "plain words only") == "none" and one(spark, script.math_density(F.col("t")), "x = 1 ∑ ∫ α") == "high"
 
 
 def test_similarity():
@@ -79,7 +78,7 @@ def test_gates(spark):
     ]
     rows = spark.createDataFrame(pairs, "s string, g string, want string")
     assert [r.want for r in rows.select("want", gates.fast_pass(F.col("s"), F.col("g")).alias("r")).filter("want <> r").collect()] == []
-    assert one(spark, gates.references(T), "x [3-5, 9] y [4]") == [3, 4, 5, 9]
+    assert one(spark, gates.references(F.col("t")), "x [3-5, 9] y [4]") == [3, 4, 5, 9]
 
 
 def test_states(spark):
