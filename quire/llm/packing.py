@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 import re
@@ -57,6 +58,12 @@ class Encoder:
             self._learn(fresh)
         return [b"".join([get(w) if x is None else x for w, x in zip(ws, ids, strict=True)] if None in ids else ids) for ws, ids in zip(words, found, strict=True)]
 
+    @staticmethod
+    @functools.lru_cache(maxsize=1)
+    def of_worker(path: str) -> Encoder:
+        """One for all tasks of a Python worker, which Spark uses again."""
+        return Encoder(path)
+
     def _learn(self, fresh: list[str]) -> None:
         """Encodes words laid side by side; offsets tell whose the tokens are."""
         encoded = self.tokenizer.encode(" ".join(fresh), add_special_tokens=False)
@@ -130,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T._parse_datatype_string(k)) for n, k in _PACKED[:4])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), array("I", [END_ID]).tobytes()
+        encoder, end = Encoder.of_worker(tokenizer), array("I", [END_ID]).tobytes()
         for batch in batches:
             ids, rows = batch.column(0), ([], [], [], [], [])
             for first in range(0, batch.num_rows, TEXTS):
