@@ -8,8 +8,6 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
 from quire.llm import components as cc
 from quire.llm.exact_dedup import exact_dedup
 from quire.llm.html_extract import extract, extract_pages, minimum_cut
@@ -351,13 +349,42 @@ def test_warc(spark, tmp_path):
 
 
 def test_pipeline_stages(spark):
+    """Each stage against brute force on what the one before kept."""
     import corpus_pipeline as p
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id < 60")
-    given = docs
+    at = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{at}/documents.parquet").filter("doc_id < 40")
+    given, seen = docs, []
     for k, (_, stage) in enumerate(p.STAGES):
-        out = stage(spark, given, "/root/testdata/sf0.001").cache()
-        if k < len(p.STAGES) - 1:
-            assert out.columns == docs.columns
-        given = out
-    assert given.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").count() == 0
+        given = stage(spark, given, at).cache()
+        assert k == len(p.STAGES) - 1 or given.columns == docs.columns
+        seen.append(given.collect())
+    clean, lines, near, mixed, packed = seen
+    verdicts = {r.doc_id: r.kept for r in apply_policy(quality_ledger(docs)).collect()}
+    assert {r.doc_id for r in clean} == {i for i, ok in verdicts.items() if ok}
+    rows = [(r.doc_id, r.text) for r in clean]
+    gone = brute_lines(rows)
+    assert {r.doc_id: r.text for r in lines} == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (False, i, hash(t), k) not in gone) for i, t in rows}
+    up = {r.doc_id: r.doc_id for r in lines}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    prints = {r.doc_id: brute_fingerprint(r.text) for r in lines}
+    for a in prints:
+        for b in prints:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2 and root(a) != root(b):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    assert {r.doc_id for r in near} == {root(x) for x in up} and len(near) == len({root(x) for x in up})
+    size = lambda rs: sum(len(WORD.findall(r.text)) for r in rs)
+    sources = {r.source for r in near}
+    assert size(near) - len(sources) <= size(mixed) <= size(near)
+    assert {r.doc_id for r in packed} == {r.doc_id for r in mixed}
+    filled = defaultdict(int)
+    for r in packed:
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 4096
+    tokenizer = Encoder(tokenizer_path()).tokenizer
+    assert sum(filled.values()) == sum(len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed)
