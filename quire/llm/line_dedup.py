@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, free_name, freed, written
+from quire.llm.common import WORD, free_name, freed, words_of, written
 
 #: Similarity of word sets from which the later line goes: NUM / DEN.
 NUM, DEN = 4, 5
@@ -17,7 +17,7 @@ FINE = 4
 
 def _tokens(line: Column) -> Column:
     """Distinct words of a line, as 64-bit hashes."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
 
 
 def _bucket(token: Column) -> Column:
@@ -30,7 +30,7 @@ def rarity(docs: DataFrame, text_col: str) -> bytes:
     Any total order of tokens keeps the join exact; buckets and levels only make it coarser than counts.
     The table has a fixed size, put together from 1,024 parts, so it may go to the driver and into the plan.
     """
-    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))).alias("w"))
+    words = docs.select(F.explode(words_of(F.col(text_col))).alias("w"))
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
     every = docs.sparkSession.range(1 << BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("count"))
     counts = counts.unionByName(every).groupBy("b").agg(F.sum("count").alias("n"))
@@ -54,7 +54,7 @@ def _overlap(n: Column, m: Column) -> Column:
 
 def _prefixes(classes: DataFrame) -> DataFrame:
     """A row for each token of each prefix: tok, c, n, i (place, from 1), bits."""
-    return classes.select("c", "n", "bits", F.posexplode("prefix").alias("i", "tok")).select("tok", "c", F.col("n"), (F.col("i") + 1).cast("int").alias("i"), "bits")
+    return classes.select("c", "n", "bits", F.posexplode("prefix").alias("i", "tok")).select("tok", "c", "n", (F.col("i") + 1).alias("i"), "bits")
 
 
 def _may_match() -> Column:
@@ -103,7 +103,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col(text_col)
     table = F.lit(rarity(docs, text_col))
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
-    lines = lines.select("id", "t", "no", _tokens(F.col("line")).alias("s")).filter(F.size("s") > 0)
+    lines = lines.filter(F.col("line").rlike(WORD)).select("id", "t", "no", _tokens(F.col("line")).alias("s"))
     level = lambda h: F.ascii(F.substring(table, _bucket(h) + 1, 1).cast("string")).cast("long")
     key = lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     n = F.size("s")
@@ -114,6 +114,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.slice(F.sort_array(F.transform("s", key)), 1, n - _up(n, NUM, DEN) + 1).alias("prefix"),
     )
     order = F.struct(F.col("id").isNull().alias("last"), "id", "t", "no")
+    # in prefixes 31 bits of a token do: equal ones by chance are only candidates that the filters and the similarity turn down
+    lines = lines.withColumn("prefix", F.transform("prefix", lambda k: F.shiftrightunsigned(F.shiftleft(k, 8), 33).cast("int")))
     classes = lines.groupBy(F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(1), "s").alias("c2")).agg(
         F.min(order).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")
     )
@@ -122,7 +124,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = freed(written(classes))
 
     rows = _prefixes(classes)
-    earliest = rows.groupBy("tok").agg(F.min(F.struct("c", "n", "i", "bits")).alias("x")).select("tok", "x.*")
+    earliest = rows.groupBy("tok").agg(F.min(F.struct("c", "n", "i", "bits")).alias("x"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("tok", "x.*")
     pairs = lambda a, b: a.alias("a").join(b.alias("b"), (F.col("a.tok") == F.col("b.tok")) & _may_match()).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
     done = freed(written(_similar(freed(written(pairs(earliest, rows))), classes, docs, id_col, text_col)))
     rest = classes.join(done.withColumnRenamed("b", "c"), "c", "left_anti")
