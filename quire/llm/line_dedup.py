@@ -77,8 +77,11 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     asked = needed.groupBy("id", "t").agg(F.collect_list(F.struct("no", "c")).alias("asked"))  # bounded by a text's lines
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).alias("d")
     asked = asked.alias("q")
-    found = texts.join(asked, F.col("d.id").eqNullSafe(F.col("q.id")) & (F.col("d.t") == F.col("q.t"))).select("text", F.explode("asked").alias("x"))
-    sets = found.select(F.col("x.c").alias("c"), _tokens(F.get(F.split("text", "\n"), F.col("x.no"))).alias("s")).dropDuplicates(["c"])
+    found = texts.join(asked, F.col("d.id").eqNullSafe(F.col("q.id")) & (F.col("d.t") == F.col("q.t")))
+    # bound by an outer lambda, a text is split once and not for each of its lines
+    picked = F.transform(F.array(F.split("text", "\n")), lambda ls: F.transform("asked", lambda a: F.struct(a["c"].alias("c"), F.get(ls, a["no"]).alias("line"))))
+    found = found.select(F.explode(F.get(picked, 0)).alias("x"))
+    sets = found.select(F.col("x.c").alias("c"), _tokens(F.col("x.line")).alias("s")).dropDuplicates(["c"])
     sets = written(sets)
     both = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
