@@ -27,7 +27,9 @@ def lookup_exact(blocks: DataFrame, memory: DataFrame, text_col: str = "source_t
 def shingles(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the words, in order, at most SHINGLES."""
     chars = F.split(F.lower(tx.collapsed(text)), "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1))), lambda k: F.array_join(F.slice(chars, k, n), ""))
+    # bound by an outer lambda, the characters are split once and not for each gram
+    cut = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda k: F.array_join(F.slice(c, k, n), ""))
+    grams = F.get(F.transform(F.array(chars), cut), 0)
     return F.slice(F.array_distinct(grams), 1, SHINGLES)
 
 
