@@ -73,7 +73,7 @@ def _may_match() -> Column:
 
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of pairs (a, b) of classes those whose token sets are similar: the later ones, b, distinct."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "id", "t", "no"), "c")
+    needed = pairs.select(F.col("a").alias("c")).distinct().unionByName(pairs.select(F.col("b").alias("c")).distinct()).distinct().join(classes.select("c", "id", "t", "no"), "c")
     asked = needed.groupBy("id", "t").agg(F.collect_list(F.struct("no", "c")).alias("asked"))  # bounded by a text's lines
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).alias("d")
     asked = asked.alias("q")
