@@ -7,10 +7,10 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
+import pandas as pd
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.udf import vectorized
-
 # The families in the order in which they are masked, with what they match.
 FAMILIES = {
     "EMAIL": r"(?:https?|ftp)://[^\s<>\"⟦⟧]+[^\s<>\"⟦⟧.,;:!?)\]'’”]|mailto:[^\s<>⟦⟧]+|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -97,4 +97,12 @@ def lost_literals(source: str, target: str) -> list[str]:
     return sorted((have(source) - have(target)).elements())
 
 
-mask_udf = lambda: vectorized(lambda t: (m := mask(t)) and {"text": m.text, "spans": [{"token": a, "family": b, "original": c} for a, b, c in m.spans]}, T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("token", "family", "original")])))]))
+def mask_udf():
+    """mask as a column function: struct(text, spans)."""
+    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("token", "family", "original")])))])
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        done = [mask(t or "") for t in texts]
+        return pd.DataFrame({"text": [m.text for m in done], "spans": [[{"token": a, "family": b, "original": c} for a, b, c in m.spans] for m in done]})
+
+    return F.pandas_udf(run, kind)
