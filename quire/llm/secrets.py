@@ -8,6 +8,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +20,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are taken whole, so a shorter one can
 BASE = ("assign", "access", "hex")
 
 #: Weak parts, reported only in company. An identifier names an account or key; its value has no shape of its own.
-WEAK_ID = re.compile(r"""\b(?:access[_-]?key(?:[_-]?id)?|key[_-]?id|client[_-]?id|account(?:[_-]?id)?|user(?:[_-]?(?:name|id))?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{3,})""", re.I | re.A)
+#: Its name may have a prefix (DB_USER), but one that says secret (aws_secret_access_key) names no identifier.
+WEAK_ID = re.compile(r"""\b(?:(?!\w*secret)[A-Za-z0-9_]*[_-])?(?:access[_-]?key(?:[_-]?id)?|key[_-]?id|client[_-]?id|account(?:[_-]?id)?|user(?:[_-]?(?:name|id))?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{3,})""", re.I | re.A)
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=@-])")
 ENDPOINT = re.compile(r"""(?:[a-z][a-z0-9+.-]*://[^\s"'<>]+|\b(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}\b|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:\d{2,5}\b)""")
 #: Parts belong together within so many characters and one paragraph.
@@ -52,40 +54,43 @@ def _paragraphs(text: str) -> list[int]:
 
 
 def _near(spans: list[Span], starts: list[int], longest: int, a: int, b: int) -> list[Span]:
-    """Of spans, sorted by start, those that meet [a, b]."""
-    return [s for s in spans[bisect_left(starts, a - longest) : bisect_right(starts, b)] if s[1] >= a]
+    """Of spans, sorted by start, those that start before b and do not end before a."""
+    return [s for s in spans[bisect_left(starts, a - longest) : bisect_left(starts, b)] if s[1] >= a]
 
 
 def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     """Weak parts that complement another: an interval join of identifiers, secrets and endpoints.
 
-    Each identifier opens an interval of `reach` characters around it, clipped to its paragraph. A weak identifier is reported if a
-    secret lies there, a weak secret if an identifier's interval covers it, an endpoint if one interval holds it beside
-    such a pair. Base matches count as parts (access as an identifier, assign and hex as secrets) and are not reported twice.
+    Each identifier opens an interval of `reach` characters around it, clipped to its paragraph; parts that meet it belong to it, and are
+    reported whole. A weak identifier is reported if a secret lies there, a weak secret if an identifier's interval meets it, an endpoint if
+    one interval holds it beside such a pair, or beside an assign or hex match. A weak secret and an endpoint alone are none: paths and digests
+    look like that. Base matches count as parts (access as an identifier, assign and hex as secrets) and are not reported twice.
     """
-    ids = [s for s in base if s[2] == "access"]
+    ids, secrets = [s for s in base if s[2] == "access"], sorted(s for s in base if s[2] != "access")
     taken = sorted((a, b) for a, b, _ in base)
-    free = lambda a, b: (k := bisect_left(taken, (b, -1))) == 0 or max(y for _, y in taken[:k]) <= a
+    tops = list(accumulate((b for _, b in taken), max))
+    free = lambda a, b: (k := bisect_left(taken, (b, -1))) == 0 or tops[k - 1] <= a
     if ":" in text or "=" in text:
         ids += [(m.start(), m.end(), "part_id") for m in WEAK_ID.finditer(text) if free(m.start(), m.end())]
-    if not ids:
+    if not ids and not secrets:
         return []
     edges = _paragraphs(text)
+    ends = [(m.start(), m.end(), "part_endpoint") for m in ENDPOINT.finditer(text)]
+    weak = [(m.start(), m.end(), "part_secret") for m in WEAK_SECRET.finditer(text) if free(m.start(), m.end()) and _strong(m[0])] if ids else []
+    at = [e[0] for e in ends]
+    weak = [w for w in weak if (k := bisect_right(at, w[0])) == 0 or ends[k - 1][1] <= w[0]]
+    sides = [(spans, [s[0] for s in spans], max((b - a for a, b, _ in spans), default=0)) for spans in (secrets, weak, ends)]
     found: set[Span] = set()
-    secrets = sorted(s for s in base if s[2] != "access")
-    starts, longest = [s[0] for s in secrets], max((b - a for a, b, _ in secrets), default=0)
-    for i in ids:
+    for i in ids + secrets:
         k = bisect_right(edges, i[0])
-        low, high = max(i[0] - reach, edges[k - 1]), min(i[1] + reach, edges[k] if k < len(edges) else len(text))
-        with_it = _near(secrets, starts, longest, low, high)
-        weak = [
-            (m.start(), m.end(), "part_secret") for m in WEAK_SECRET.finditer(text, low, high)
-            if (m.end() <= i[0] or m.start() >= i[1]) and free(m.start(), m.end()) and _strong(m[0])
-        ]
-        ends = [(m.start(), m.end(), "part_endpoint") for m in ENDPOINT.finditer(text, low, high)]
-        weak = [w for w in weak if not any(e[0] <= w[0] < e[1] for e in ends)]
-        if with_it or weak:
-            found.update(weak, [e for e in ends if free(e[0], e[1])], [i] if i[2] == "part_id" else [])
+        low, high = max(i[0] - reach, edges[k - 1]), min(i[1] + reach + 1, edges[k] if k < len(edges) else len(text))
+        strong, near, at_hand = (_near(*side, low, high) for side in sides)
+        near = [w for w in near if w[1] <= i[0] or w[0] >= i[1]]
+        at_hand = [e for e in at_hand if free(e[0], e[1])]
+        if i[2] in ("assign", "hex"):
+            found.update(at_hand)
+        elif strong or near:
+            found.update(near, at_hand, [i] if i[2] == "part_id" else [])
     return list(found)
 
 
