@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import written
-from quire.llm.line_dedup import dedup_lines
+from quire.llm.line_dedup import dedup_lines, drop_similar
 from quire.llm.mixing import apply_mix
 from quire.llm.packing import pack
 from quire.llm.quality import apply_policy, stored_ledger
@@ -24,8 +24,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return drop_near_copies(docs)
+    """One document of each group of near copies by fingerprint, and of those none that an earlier one is similar to by 0.8."""
+    return drop_similar(written(drop_near_copies(docs)))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

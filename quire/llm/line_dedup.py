@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +22,29 @@ def _tokens(line: Column) -> Column:
     return F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
 
 
+def shingles(text: Column, n: int = 5) -> Column:
+    """Distinct runs of n words in lower case, as 64-bit hashes; a shorter text is one run."""
+    # bound by an outer lambda, the words are split once and not for each run
+    runs = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda k: F.xxhash64(F.slice(ws, k, n)))
+    return F.array_distinct(F.get(F.transform(F.array(words_of(F.lower(text))), runs), 0))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n")
+
+
 def _bucket(token: Column) -> Column:
     return token.bitwiseAND(F.lit((1 << BUCKETS) - 1)).cast("int")
 
 
-def rarity(docs: DataFrame, text_col: str) -> bytes:
+def rarity(docs: DataFrame, text_col: str, tokens: Callable[[Column], Column] | None = None) -> bytes:
     """A byte a bucket: how often the corpus has its tokens, on a log scale. All words of all texts are counted.
 
     Any total order of tokens keeps the join exact; buckets and levels only make it coarser than counts.
     The table has a fixed size, put together from 1,024 parts, so it may go to the driver and into the plan.
     """
-    words = docs.select(F.explode(words_of(F.col(text_col))).alias("w"))
-    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
+    words = docs.select(F.explode((tokens or words_of)(F.col(text_col))).alias("w"))
+    counts = words.groupBy(_bucket(F.col("w") if tokens else F.xxhash64("w")).alias("b")).count()
     every = docs.sparkSession.range(1 << BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("count"))
     counts = counts.unionByName(every).groupBy("b").agg(F.sum("count").alias("n"))
     level = F.least(F.lit(126), F.floor(F.log2(F.col("n") + 1) * FINE)).cast("int")
@@ -71,7 +84,7 @@ def _may_match() -> Column:
     )
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, parts: Callable[[Column], Column], tokens: Callable[[Column], Column]) -> DataFrame:
     """Of pairs (a, b) of classes those whose token sets are similar: the later ones, b, distinct."""
     needed = pairs.select(F.col("a").alias("c")).distinct().unionByName(pairs.select(F.col("b").alias("c")).distinct()).distinct().join(classes.select("c", "id", "t", "no"), "c")
     asked = needed.groupBy("id", "t").agg(F.collect_list(F.struct("no", "c")).alias("asked"))  # bounded by a text's lines
@@ -79,19 +92,27 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     asked = asked.alias("q")
     found = texts.join(asked, F.col("d.id").eqNullSafe(F.col("q.id")) & (F.col("d.t") == F.col("q.t")))
     # bound by an outer lambda, a text is split once and not for each of its lines
-    picked = F.transform(F.array(F.split("text", "\n")), lambda ls: F.transform("asked", lambda a: F.struct(a["c"].alias("c"), F.get(ls, a["no"]).alias("line"))))
+    picked = F.transform(F.array(parts(F.col("text"))), lambda ls: F.transform("asked", lambda a: F.struct(a["c"].alias("c"), F.get(ls, a["no"]).alias("line"))))
     found = found.select(F.explode(F.get(picked, 0)).alias("x"))
-    sets = found.select(F.col("x.c").alias("c"), _tokens(F.col("x.line")).alias("s")).dropDuplicates(["c"])
+    sets = found.select(F.col("x.c").alias("c"), tokens(F.col("x.line")).alias("s")).dropDuplicates(["c"])
     sets = written(sets)
     both = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(shared * (NUM + DEN) >= (F.size("sa") + F.size("sb")) * NUM).select("b").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those that an earlier one is similar to: sets of five-word shingles, Jaccard NUM / DEN or more, exactly.
+
+    The join of dedup_lines over whole texts; where lines break does not count. Texts without a word stay.
+    """
+    return dedup_lines(docs, id_col, text_col, F.array, shingles).filter("n_removed = 0").select(*docs.columns)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: Callable[[Column], Column] = _lines, tokens: Callable[[Column], Column] = _tokens) -> DataFrame:
     """Every row of docs with its text without the lines that an earlier line is similar to, and n_lines, n_removed.
 
-    Lines are the parts between newlines; their tokens are their distinct words. A line goes if any line before it, by
+    Lines are the parts between newlines; their tokens are their distinct words, unless parts and tokens say otherwise. A line goes if any line before it, by
     id (null last), place of its text among rows that repeat the id, and line number, has a Jaccard similarity of NUM / DEN or
     more, whether or not that line goes itself. Lines without a word stay and match nothing. Null texts stay null; rows
     that repeat both id and text share their lines' fate. An empty table gives an empty result. Columns of docs that clash with an added name are replaced.
@@ -104,9 +125,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed")])
     text = F.col(text_col)
-    table = F.lit(rarity(docs, text_col))
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
-    lines = lines.filter(F.col("line").rlike(WORD)).select("id", "t", "no", _tokens(F.col("line")).alias("s"))
+    table = F.lit(rarity(docs, text_col, None if tokens is _tokens else tokens))
+    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.posexplode(parts(text)).alias("no", "line"))
+    lines = lines.filter(F.col("line").rlike(WORD)).select("id", "t", "no", tokens(F.col("line")).alias("s"))
     level = lambda h: F.ascii(F.substring(table, _bucket(h) + 1, 1).cast("string")).cast("long")
     key = lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     n = F.size("s")
@@ -129,9 +150,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = _prefixes(classes)
     earliest = rows.groupBy("tok").agg(F.min(F.struct("c", "n", "i", "bits")).alias("x"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("tok", "x.*")
     pairs = lambda a, b: a.alias("a").join(b.alias("b"), (F.col("a.tok") == F.col("b.tok")) & _may_match()).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
-    done = freed(written(_similar(freed(written(pairs(earliest, rows))), classes, docs, id_col, text_col)))
+    done = freed(written(_similar(freed(written(pairs(earliest, rows))), classes, docs, id_col, text_col, parts, tokens)))
     rest = classes.join(done.withColumnRenamed("b", "c"), "c", "left_anti")
-    more = freed(written(_similar(freed(written(pairs(rows, _prefixes(rest)))), classes, docs, id_col, text_col)))
+    more = freed(written(_similar(freed(written(pairs(rows, _prefixes(rest)))), classes, docs, id_col, text_col, parts, tokens)))
     stay = rest.join(more.withColumnRenamed("b", "c"), "c", "left_anti")
     stay = stay.groupBy("id", "t").agg(F.collect_list("no").alias("_stay"))
 
@@ -139,7 +160,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay = stay.select(F.col("id").alias("_id"), F.col("t").alias("_of"), F.col("_stay").alias(k))
     out = docs.withColumn(t, F.xxhash64(text_col))
     out = out.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(t) == F.col("_of")), "left")
-    out = out.withColumn(ls, F.split(text, "\n"))
+    out = out.withColumn(ls, parts(text))
     blank = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: ~F.get(F.col(ls), i).rlike(WORD))
     stays = F.sort_array(F.array_union(F.coalesce(F.col(k), F.array().cast("array<int>")), blank))
     out = out.withColumn(k, F.when(text.isNotNull(), stays))
