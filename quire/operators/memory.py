@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from quire.functions import text as tx
 from quire.functions.similarity import indel_ratio_udf
 
 FUZZY, CANDIDATES, SHINGLES = 0.85, 200, 64
+#: Parts that each class of lengths is dealt over.
+SALTS = 16
 
 
 def lookup_exact(blocks: DataFrame, memory: DataFrame, text_col: str = "source_text") -> DataFrame:
@@ -25,17 +29,19 @@ def lookup_exact(blocks: DataFrame, memory: DataFrame, text_col: str = "source_t
 
 
 def shingles(text: Column, n: int = 3) -> Column:
-    """Distinct character n-grams of the words, in order, at most SHINGLES."""
+    """Distinct character n-grams of the words, in order."""
     chars = F.split(F.lower(tx.collapsed(text)), "")
     # bound by an outer lambda, the characters are split once and not for each gram
     cut = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda k: F.array_join(F.slice(c, k, n), ""))
-    grams = F.get(F.transform(F.array(chars), cut), 0)
-    return F.slice(F.array_distinct(grams), 1, SHINGLES)
+    return F.array_distinct(F.get(F.transform(F.array(chars), cut), 0))
 
 
 def trigram_candidates(queries: DataFrame, memory: DataFrame, query_id: str, query_text: str, memory_id: str, memory_text: str, most: int = CANDIDATES) -> DataFrame:
-    """(query, candidate, shared): the `most` memory rows with most shared trigrams, by an inverted index."""
-    q = queries.select(F.col(query_id).alias("query"), F.explode(shingles(F.col(query_text))).alias("g"))
+    """(query, candidate, shared): the `most` memory rows with most shared trigrams, by an inverted index.
+
+    A query asks for its first SHINGLES trigrams; memory rows are indexed whole.
+    """
+    q = queries.select(F.col(query_id).alias("query"), F.explode(F.slice(shingles(F.col(query_text)), 1, SHINGLES)).alias("g"))
     m = memory.select(F.col(memory_id).alias("candidate"), F.explode(shingles(F.col(memory_text))).alias("g"))
     pairs = q.join(m, "g").groupBy("query", "candidate").agg(F.count(F.lit(1)).alias("shared"))
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.col("shared").desc(), "candidate"))
@@ -43,14 +49,24 @@ def trigram_candidates(queries: DataFrame, memory: DataFrame, query_id: str, que
 
 
 def lookup_fuzzy(queries: DataFrame, memory: DataFrame, query_id: str, query_text: str, memory_id: str, memory_text: str, least: float = FUZZY) -> DataFrame:
-    """(query, candidate, ratio) of candidates whose Indel ratio is at least `least`; a length bound comes first."""
-    pairs = trigram_candidates(queries, memory, query_id, query_text, memory_id, memory_text)
+    """(query, candidate, ratio) of all pairs whose Indel ratio is at least `least`, above 0.
+
+    Exact: equal texts are compared once, and any two whose lengths allow the ratio are. Such lengths lie in the same or in
+    neighbouring classes, on which distinct texts are joined.
+    """
+    if least <= 0:
+        raise ValueError("every pair has a ratio of 0 or more")
     q = queries.select(F.col(query_id).alias("query"), tx.collapsed(F.col(query_text)).alias("a"))
     m = memory.select(F.col(memory_id).alias("candidate"), tx.collapsed(F.col(memory_text)).alias("b"))
-    both = pairs.join(q, "query").join(m, "candidate")
+    step = math.log((2 - least) / least) + 1e-6  # a little wider, so that rounding parts no pair by two classes
+    kind = lambda t: F.floor(F.log(F.greatest(F.length(t), F.lit(1))) / step)
+    asked = q.select("a").distinct().withColumn("_class", F.explode(F.array(*[kind("a") + k for k in (-1, 0, 1)])))
+    asked = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = m.select("b").distinct().withColumns({"_class": kind("b"), "_salt": F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")})
     n, k = F.length("a"), F.length("b")
-    both = both.filter(F.least(n, k) * 2 >= (n + k) * least)
-    return both.withColumn("ratio", indel_ratio_udf("a", "b")).filter(F.col("ratio") >= least).select("query", "candidate", "ratio")
+    both = asked.join(known, ["_class", "_salt"]).filter(F.least(n, k) * 2 >= (n + k) * least).select("a", "b")
+    hits = both.withColumn("ratio", indel_ratio_udf("a", "b")).filter(F.col("ratio") >= least)
+    return hits.join(q, "a").join(m, "b").select("query", "candidate", "ratio")
 
 
 def write_back(memory: DataFrame, news: DataFrame, keys: tuple[str, ...] = ("src_hash", "context_hash")) -> DataFrame:
