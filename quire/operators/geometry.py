@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +28,23 @@ def drop_duplicate_boxes(blocks: DataFrame, least: float = IOU) -> DataFrame:
     return out.filter((F.col("_n") == 1) | (iou(F.col("bbox"), F.col("_keep")) < least)).drop("_keep", "_n")
 
 
-def overlaps(blocks: DataFrame, least: float = IOU, per_page: int = 200, smallest: float = 1.0) -> DataFrame:
-    """(page, a, b, iou) of boxes on a page that overlap; the first per_page boxes of a page, a feature of the check."""
+def overlaps(blocks: DataFrame, least: float = IOU, smallest: float = 1.0) -> DataFrame:
+    """(page, a, b, iou) of all pairs of boxes on a page that overlap by `least`, above 0.
+
+    Widths of such boxes differ by a factor of 1 / least at most, and their centres by less than the wider one's width, so boxes
+    meet on page, class of width and column of a grid as wide as the class; each pair meets once.
+    """
+    if least <= 0:
+        raise ValueError("every pair overlaps by 0 or more")
     n = F.row_number().over(Window.partitionBy("page").orderBy("block_id"))
-    some = blocks.filter(area(F.col("bbox")) >= smallest).withColumn("_n", n).filter(F.col("_n") <= per_page)
-    a, b = some.alias("a"), some.alias("b")
-    pairs = a.join(b, (F.col("a.page") == F.col("b.page")) & (F.col("a._n") < F.col("b._n")))
+    base = (1 + 1e-6) / least  # a little wider, so that rounding parts no pair by two classes
+    box = F.col("bbox")
+    centre = (box["x0"] + box["x1"]) / 2
+    column = lambda kind: F.floor(centre / F.pow(F.lit(base), kind + 2))
+    some = blocks.filter(area(box) >= smallest).withColumn("_n", n).withColumn("_w", F.floor(F.log(box["x1"] - box["x0"]) / math.log(base)))
+    keys = F.array(*[F.struct((F.col("_w") + k).alias("w"), (column(F.col("_w") + k) + c).alias("c")) for k in (-1, 0, 1) for c in (-1, 0, 1)])
+    a, b = some.withColumn("_key", F.explode(keys)).alias("a"), some.withColumn("_c", column(F.col("_w"))).alias("b")
+    pairs = a.join(b, (F.col("a.page") == F.col("b.page")) & (F.col("a._key.w") == F.col("b._w")) & (F.col("a._key.c") == F.col("b._c")) & (F.col("a._n") < F.col("b._n")))
     return pairs.withColumn("iou", iou(F.col("a.bbox"), F.col("b.bbox"))).filter(F.col("iou") >= least).select("a.page", F.col("a.block_id").alias("a"), F.col("b.block_id").alias("b"), "iou")
 
 
