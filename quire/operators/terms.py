@@ -12,28 +12,40 @@ ACRONYM = r"([A-Za-z][A-Za-z -]{3,60}?)\s*\(([A-Z]{2,8})\)"
 BROADCAST_TERMS = 50_000
 
 
+CJK = "[㐀-鿿぀-ヿ가-힯]"
+
+
 def escaped(term: Column) -> Column:
     return F.regexp_replace(term, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
 
 
 def occurrences(text: Column, term: Column) -> Column:
     """How often a term stands in a text: CJK terms of over one character as substrings, others as whole words in any case."""
-    cjk = term.rlike("[㐀-鿿぀-ヿ가-힯]") & (F.length(term) > 1)
+    cjk = term.rlike(CJK) & (F.length(term) > 1)
     plain = F.when(term == "", 0).otherwise((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("int")
     return F.when(cjk, plain).otherwise(F.regexp_count(text, F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}_])"), escaped(term), F.lit(r"(?![\p{L}\p{N}_])"))))
 
 
 def first_words(glossary: DataFrame, source: str = "source") -> DataFrame:
-    return glossary.withColumn("_first", F.lower(F.regexp_extract(F.col(source), r"^([\p{L}\p{N}_]+)", 1)))
+    """glossary with _first, what a block that has the term has too: one or two CJK characters, else the first word, else nothing."""
+    s = F.col(source)
+    return glossary.withColumn("_first", F.when(s.rlike(CJK), F.regexp_extract(s, CJK + "{1,2}", 0)).otherwise(F.lower(F.regexp_extract(s, r"[\p{L}\p{N}_]+", 0))))
+
+
+def block_words(text: Column) -> Column:
+    """Distinct words of a block, its CJK characters and pairs of them, and the empty word, which terms of signs alone have."""
+    found = lambda t, p, k: F.regexp_extract_all(t, F.lit(p), F.lit(k))
+    return F.array_distinct(F.concat(F.array(F.lit("")), found(F.lower(text), r"[\p{L}\p{N}_]+", 0), found(text, CJK, 0), found(text, f"(?=({CJK}{{2}}))", 1)))
 
 
 def containment(blocks: DataFrame, glossary: DataFrame, text: str = "source_text", source: str = "source", keys: tuple[str, ...] = ("doc_id", "spine_index")) -> DataFrame:
     """(keys, source, n): terms that stand in blocks, and how often.
 
-    Terms meet blocks on their first word, an equi-join over the blocks' distinct words; only such pairs are searched.
+    Terms meet blocks on their first word, CJK ones on their first characters, an equi-join over what blocks have of
+    those; only such pairs are searched.
     """
-    words = blocks.select(*keys, text, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("_first"))
-    pairs = words.join(first_words(glossary, source).select(source, "_first"), "_first")
+    words = blocks.select(*keys, text, F.explode(block_words(F.col(text))).alias("_first"))
+    pairs = words.join(first_words(glossary, source).filter(F.col(source) != "").select(source, "_first"), "_first")
     return pairs.withColumn("n", occurrences(F.col(text), F.col(source))).filter("n > 0").select(*keys, source, "n")
 
 
