@@ -92,7 +92,7 @@ def merge_entries(entries: DataFrame) -> DataFrame:
     )
 
 
-def abbreviations(blocks: DataFrame, most: int = 60) -> DataFrame:
+def abbreviations(blocks: DataFrame) -> DataFrame:
     """(acronym, expansion) of "Expansion (ACR)" whose initials fit; the first in reading order wins."""
     found = blocks.select("doc_id", "spine_index", F.posexplode(F.regexp_extract_all("source_text", F.lit(ACRONYM), F.lit(0))).alias("k", "m"))
     found = found.withColumns({"acronym": F.regexp_extract("m", ACRONYM, 2), "words": F.split(F.trim(F.regexp_extract("m", ACRONYM, 1)), r"[\s-]+")})
@@ -100,7 +100,7 @@ def abbreviations(blocks: DataFrame, most: int = 60) -> DataFrame:
     fits = F.upper(F.array_join(F.transform(tail, lambda w: F.substring(w, 1, 1)), "")) == F.col("acronym")
     found = found.filter(fits).withColumn("expansion", F.array_join(tail, " "))
     first = found.groupBy(F.lower("acronym").alias("_a")).agg(F.min_by(F.struct("acronym", "expansion"), F.struct("doc_id", "spine_index", "k")).alias("x"))
-    return first.select("x.acronym", "x.expansion").orderBy("acronym").limit(most)
+    return first.select("x.acronym", "x.expansion").orderBy("acronym")
 
 
 def concordance(blocks: DataFrame, terms: DataFrame, least: int = 2) -> DataFrame:

@@ -13,3 +13,10 @@ def test_containment_against_all_pairs(spark):
     every = blocks.crossJoin(glossary).withColumn("n", terms.occurrences(F.col("source_text"), F.col("source"))).filter("n > 0")
     assert got == sorted((r.block_id, r.source, r.n) for r in every.collect())
     assert {(0, "机器学习", 1), (1, ".NET", 1), (2, "A型", 1), (3, "++", 1)} <= set(got)
+
+
+def test_all_abbreviations(spark):
+    letters = "ABCDEFGHIJ"
+    pairs = [(a + b, f"{a}xx {b}yy") for a in letters for b in letters]
+    blocks = spark.createDataFrame([(1, k, f"{x} ({a})") for k, (a, x) in enumerate(pairs)], "doc_id long, spine_index int, source_text string")
+    assert [tuple(r) for r in terms.abbreviations(blocks).collect()] == sorted(pairs)
