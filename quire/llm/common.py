@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +12,8 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 #: One word: a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting that removes a query's shuffle files at its end; lost ones are computed again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,22 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df, computed once and read back from a table in the shared folder; lineage ends there, so a lost executor costs no recomputation."""
+    """df, computed once and read back from a table in the shared folder; lineage ends there, so a lost executor costs no recomputation.
+
+    The write's shuffle files go when it ends, so they do not pile up.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def freed(table: DataFrame) -> DataFrame:
-    """table, a written one; asks the JVM to let go of shuffles that nothing needs any more, so their files do not pile up."""
-    for _ in range(2):  # Python's handles go first, what they held follows
-        gc.collect()
-        table.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-    return table
-
-
 def without_white(text: Column) -> Column:
     """text without any character of WHITE; each replace is a plain byte scan."""
     for c in WHITE:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import freed, salt_of, salted_lookup, written
+from quire.llm.common import salt_of, salted_lookup, written
 
 #: Links that one task contracts in memory.
 LOCAL = 1_000_000
@@ -49,17 +49,17 @@ def components(edges: DataFrame, salts: int = 64, local: int = LOCAL) -> DataFra
     brings far ends together, and tasks contract again. Nothing is collected but counts; each round is a
     table in the shared folder. Nodes without links (and empty tables) have no row.
     """
-    links = freed(written(edges.select("u", "v").filter("u <> v")))
+    links = (written(edges.select("u", "v").filter("u <> v")))
     seen = None
     while True:
         tasks = max(1, math.ceil(links.count() / local))
-        links = freed(written(links.repartition(tasks).mapInArrow(_contracted, "u long, v long").filter("u <> v").distinct()))
+        links = (written(links.repartition(tasks).mapInArrow(_contracted, "u long, v long").filter("u <> v").distinct()))
         if tasks > 1:
             both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
             large = _to_least(both, salts).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
             near = _to_least(large, salts)
             small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-            links = freed(written(small.filter("u <> v").distinct()))
+            links = (written(small.filter("u <> v").distinct()))
             now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
             if now != seen:
                 seen = now

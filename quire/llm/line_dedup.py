@@ -4,29 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, free_name, freed, words_of, written
+from quire.llm.common import WHITE, free_name, words_of, written
 
 #: Similarity of word sets from which the later line goes: NUM / DEN.
 NUM, DEN = 4, 5
-#: Token counts are kept in 2^BUCKETS buckets: a table of that many bytes, whatever the corpus.
-BUCKETS = 20
+#: Token counts are kept in 2^BUCKETS buckets: a table of that many longs, whatever the corpus.
+BUCKETS = 16
 #: Levels of rarity a doubling; a level fits seven bits.
 FINE = 4
 
 
-def _tokens(line: Column) -> Column:
-    """Distinct words of a line, as 64-bit hashes."""
-    return F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
-
-
 def shingles(text: Column, n: int = 5) -> Column:
-    """Distinct runs of n words in lower case, as 64-bit hashes; a shorter text is one run."""
+    """Runs of n words in lower case, as 64-bit hashes; a shorter text is one run."""
     # bound by an outer lambda, the words are split once and not for each run
     runs = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda k: F.xxhash64(F.slice(ws, k, n)))
-    return F.array_distinct(F.get(F.transform(F.array(words_of(F.lower(text))), runs), 0))
+    return F.get(F.transform(F.array(words_of(F.lower(text))), runs), 0)
 
 
 def _lines(text: Column) -> Column:
@@ -37,22 +32,18 @@ def _bucket(token: Column) -> Column:
     return token.bitwiseAND(F.lit((1 << BUCKETS) - 1)).cast("int")
 
 
-def rarity(docs: DataFrame, text_col: str, tokens: Callable[[Column], Column] | None = None) -> bytes:
-    """A byte a bucket: how often the corpus has its tokens, on a log scale. All words of all texts are counted.
+def rarity(docs: DataFrame, text_col: str) -> DataFrame:
+    """One row with one array, levels: for each bucket how often the corpus has its words, on a log scale, in the bits that sort a token.
 
-    Any total order of tokens keeps the join exact; buckets and levels only make it coarser than counts.
-    The table has a fixed size, put together from 1,024 parts, so it may go to the driver and into the plan.
+    All words of all texts are counted. Any total order of tokens keeps the join exact; buckets and levels only make it
+    coarser than counts. The array has a fixed size; it is a table that queries read, no literal in their plans.
     """
-    words = docs.select(F.explode((tokens or words_of)(F.col(text_col))).alias("w"))
-    counts = words.groupBy(_bucket(F.col("w") if tokens else F.xxhash64("w")).alias("b")).count()
+    words = docs.select(F.explode(words_of(F.col(text_col))).alias("w"))
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
     every = docs.sparkSession.range(1 << BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("count"))
     counts = counts.unionByName(every).groupBy("b").agg(F.sum("count").alias("n"))
-    level = F.least(F.lit(126), F.floor(F.log2(F.col("n") + 1) * FINE)).cast("int")
-    part = F.shiftright("b", 10)
-    parts = counts.groupBy(part.alias("p")).agg(F.sort_array(F.collect_list(F.struct("b", F.char(level + 1).alias("c")))).alias("x"))
-    parts = parts.select("p", F.array_join(F.transform("x", lambda x: x["c"]), "").alias("s"))
-    whole = parts.groupBy().agg(F.sort_array(F.collect_list(F.struct("p", "s"))).alias("x")).select(F.array_join(F.transform("x", lambda x: x["s"]), "").alias("s"))
-    return whole.first()["s"].encode("ascii")
+    level = F.shiftleft(F.least(F.lit(126), F.floor(F.log2(F.col("n") + 1) * FINE)).cast("long"), 56)
+    return written(counts.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("b", level.alias("k")))), lambda x: x["k"]).alias("levels")))
 
 
 def _up(a: Column, num: int, den: int) -> Column:
@@ -65,9 +56,17 @@ def _overlap(n: Column, m: Column) -> Column:
     return _up(n + m, NUM, NUM + DEN)
 
 
-def _prefixes(classes: DataFrame) -> DataFrame:
-    """A row for each token of each prefix: tok, c, n, i (place, from 1), bits."""
-    return classes.select("c", "n", "bits", F.posexplode("prefix").alias("i", "tok")).select("tok", "c", "n", (F.col("i") + 1).alias("i"), "bits")
+def _company(classes: DataFrame) -> DataFrame:
+    """Of the tokens of all prefixes those that several classes have: tok, c, n, i (place, from 1), bits, first.
+
+    first is the earliest class with the token, where the filters let it meet this one. Tokens are dealt out once and read in
+    order of c, so a token without company ends here, and no group is held in memory.
+    """
+    rows = classes.select("c", "n", "bits", F.posexplode("prefix").alias("i", "tok")).select("tok", "c", "n", (F.col("i") + 1).alias("i"), "bits")
+    by = Window.partitionBy("tok").orderBy("c")
+    rows = rows.select("*", F.first(F.struct("c", "n", "i", "bits")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("a"), F.lead("c").over(by).alias("next"))
+    rows = rows.filter((F.col("a.c") < F.col("c")) | F.col("next").isNotNull()).alias("b")
+    return rows.select("tok", "c", "n", "i", "bits", F.when(_may_match(), F.col("a.c")).alias("first"))
 
 
 def _may_match() -> Column:
@@ -84,89 +83,90 @@ def _may_match() -> Column:
     )
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, parts: Callable[[Column], Column], tokens: Callable[[Column], Column]) -> DataFrame:
-    """Of pairs (a, b) of classes those whose token sets are similar: the later ones, b, distinct."""
-    needed = pairs.select(F.col("a").alias("c")).distinct().unionByName(pairs.select(F.col("b").alias("c")).distinct()).distinct().join(classes.select("c", "id", "t", "no"), "c")
-    asked = needed.groupBy("id", "t").agg(F.collect_list(F.struct("no", "c")).alias("asked"))  # bounded by a text's lines
+def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, parts: Callable[[Column], Column], units: Callable[[Column], Column]) -> DataFrame:
+    """Of pairs (a, b) of classes those whose sets are similar, counted on the lines' own units: the later ones, b, distinct."""
+    pairs = written(pairs)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "id", "t", "no"), "c")
+    asked = written(needed.groupBy("id", "t").agg(F.collect_list(F.struct("no", "c")).alias("asked"))).alias("q")  # bounded by a text's lines
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).alias("d")
-    asked = asked.alias("q")
     found = texts.join(asked, F.col("d.id").eqNullSafe(F.col("q.id")) & (F.col("d.t") == F.col("q.t")))
     # bound by an outer lambda, a text is split once and not for each of its lines
     picked = F.transform(F.array(parts(F.col("text"))), lambda ls: F.transform("asked", lambda a: F.struct(a["c"].alias("c"), F.get(ls, a["no"]).alias("line"))))
     found = found.select(F.explode(F.get(picked, 0)).alias("x"))
-    sets = found.select(F.col("x.c").alias("c"), tokens(F.col("x.line")).alias("s")).dropDuplicates(["c"])
-    sets = written(sets)
+    sets = written(found.select(F.col("x.c").alias("c"), F.array_distinct(units(F.col("x.line"))).alias("s")).dropDuplicates(["c"]))
     both = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(shared * (NUM + DEN) >= (F.size("sa") + F.size("sb")) * NUM).select("b").distinct()
+    return written(both.filter(shared * (NUM + DEN) >= (F.size("sa") + F.size("sb")) * NUM).select("b").distinct())
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that an earlier one is similar to: sets of five-word shingles, Jaccard NUM / DEN or more, exactly.
 
-    The join of dedup_lines over whole texts; where lines break does not count. Texts without a word stay.
+    The join of dedup_lines over whole texts; where lines break does not count. Texts without a word stay. Nearly every
+    shingle is its text's own, so tokens are ordered by their hashes alone.
     """
-    return dedup_lines(docs, id_col, text_col, F.array, shingles).filter("n_removed = 0").select(*docs.columns)
+    return dedup_lines(docs, id_col, text_col, F.array, shingles, ranked=False).filter("n_removed = 0").select(*docs.columns)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: Callable[[Column], Column] = _lines, tokens: Callable[[Column], Column] = _tokens) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: Callable[[Column], Column] = _lines, units: Callable[[Column], Column] = words_of, ranked: bool = True
+) -> DataFrame:
     """Every row of docs with its text without the lines that an earlier line is similar to, and n_lines, n_removed.
 
-    Lines are the parts between newlines; their tokens are their distinct words, unless parts and tokens say otherwise. A line goes if any line before it, by
+    Lines are the parts between newlines; their tokens are their distinct words, unless parts and units say otherwise. A line goes if any line before it, by
     id (null last), place of its text among rows that repeat the id, and line number, has a Jaccard similarity of NUM / DEN or
     more, whether or not that line goes itself. Lines without a word stay and match nothing. Null texts stay null; rows
-    that repeat both id and text share their lines' fate. An empty table gives an empty result. Columns of docs that clash with an added name are replaced.
+    that repeat both id and text share their lines' fate. Lines of any length are compared whole. An empty table gives an empty result.
+    Columns of docs that clash with an added name are replaced.
 
-    1. Equal token sets are one class, that of its first line; classes are numbered in order of first lines.
-    2. Each class's tokens are ordered by rarity; only its prefix, in which any similar set must share a token, is joined.
+    1. Equal token sets are one class, that of its first line; classes are numbered in order of first lines. (Sets
+       are equal if 128 bits of hash over 56 bits a token are.)
+    2. Each class's tokens are ordered by rarity (ranked) or hash; only its prefix, in which any similar set must share a
+       token, is joined, and of that only tokens that other prefixes have too.
     3. First each class meets only the earliest class of each of its prefix tokens, which is linear in any group of
        near copies. Classes found similar there are done; the others, as later lines, meet all that pass the filters.
-    4. Similarity is computed from the tokens of both lines. (Tokens are 64-bit hashes of words.)
+    4. Similarity is computed from the words of both lines.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed")])
     text = F.col(text_col)
-    table = F.lit(rarity(docs, text_col, None if tokens is _tokens else tokens))
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.posexplode(parts(text)).alias("no", "line"))
-    lines = lines.filter(F.col("line").rlike(WORD)).select("id", "t", "no", tokens(F.col("line")).alias("s"))
-    level = lambda h: F.ascii(F.substring(table, _bucket(h) + 1, 1).cast("string")).cast("long")
-    key = lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    table = rarity(docs, text_col).scalar() if ranked else F.lit(None).cast("array<long>")
+    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), table.alias("levels"), F.posexplode(parts(text)).alias("no", "line"))
+    key = lambda h: F.get("levels", _bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 8)) if ranked else F.shiftrightunsigned(h, 8)
+    # the row of levels is used in one place, so the optimizer moves its subquery there and no row carries it
+    hashes = F.transform(units(F.col("line")), lambda w: F.xxhash64(w))
+    lines = lines.filter(F.ltrim("line", F.lit(WHITE)) != "").select("id", "t", "no", F.sort_array(F.transform(F.array_distinct(hashes), key)).alias("s"))
     n = F.size("s")
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    # in prefixes 31 bits of a token do: equal ones by chance are only candidates that the filters and the similarity turn down
+    short = lambda k: F.shiftrightunsigned(F.shiftleft(k, 8), 33).cast("int")
     lines = lines.select(
-        "id", "t", "no", n.alias("n"), F.sort_array("s").alias("s"),
-        F.aggregate("s", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h))).alias("bits"),
-        F.slice(F.sort_array(F.transform("s", key)), 1, n - _up(n, NUM, DEN) + 1).alias("prefix"),
+        "id", "t", "no", n.alias("n"), F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(1), "s").alias("c2"),
+        F.aggregate("s", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k))).alias("bits"), F.transform(F.slice("s", 1, n - _up(n, NUM, DEN) + 1), short).alias("prefix"),
     )
     order = F.struct(F.col("id").isNull().alias("last"), "id", "t", "no")
-    # in prefixes 31 bits of a token do: equal ones by chance are only candidates that the filters and the similarity turn down
-    lines = lines.withColumn("prefix", F.transform("prefix", lambda k: F.shiftrightunsigned(F.shiftleft(k, 8), 33).cast("int")))
-    classes = lines.groupBy(F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(1), "s").alias("c2")).agg(
-        F.min(order).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")
-    )
+    classes = lines.groupBy("c1", "c2").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     # ranges of first lines are partitions in order, so the ids that partitions give their rows are too
-    classes = classes.orderBy("first").select(F.monotonically_increasing_id().alias("c"), "first.id", "first.t", "first.no", "n", "bits", "prefix")
-    classes = freed(written(classes))
-
-    rows = _prefixes(classes)
-    earliest = rows.groupBy("tok").agg(F.min(F.struct("c", "n", "i", "bits")).alias("x"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("tok", "x.*")
-    pairs = lambda a, b: a.alias("a").join(b.alias("b"), (F.col("a.tok") == F.col("b.tok")) & _may_match()).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
-    done = freed(written(_similar(freed(written(pairs(earliest, rows))), classes, docs, id_col, text_col, parts, tokens)))
-    rest = classes.join(done.withColumnRenamed("b", "c"), "c", "left_anti")
-    more = freed(written(_similar(freed(written(pairs(rows, _prefixes(rest)))), classes, docs, id_col, text_col, parts, tokens)))
-    stay = rest.join(more.withColumnRenamed("b", "c"), "c", "left_anti")
-    stay = stay.groupBy("id", "t").agg(F.collect_list("no").alias("_stay"))
+    classes = classes.select("first.id", "first.t", "first.no", "n", "bits", "prefix").orderBy(F.col("id").asc_nulls_last(), "t", "no")
+    classes = written(classes.withColumn("c", F.monotonically_increasing_id()))
+
+    company = written(_company(classes))
+    done = _similar(company.filter("first is not null").select(F.col("first").alias("a"), F.col("c").alias("b")).distinct(), classes, docs, id_col, text_col, parts, units)
+    rest = company.drop("first").join(done.withColumnRenamed("b", "c"), "c", "left_anti")
+    pairs = company.drop("first").alias("a").join(rest.alias("b"), (F.col("a.tok") == F.col("b.tok")) & _may_match()).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
+    more = _similar(pairs, classes, docs, id_col, text_col, parts, units)
+    gone = done.unionByName(more).withColumnRenamed("b", "c")
+    stay = classes.select("c", "id", "t", "no").join(gone, "c", "left_anti").groupBy("id", "t").agg(F.collect_list("no").alias("stay"))
 
     t, k, ls = (free_name(docs, x) for x in ("_t", "_stay", "_lines"))
-    stay = stay.select(F.col("id").alias("_id"), F.col("t").alias("_of"), F.col("_stay").alias(k))
-    out = docs.withColumn(t, F.xxhash64(text_col))
-    out = out.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(t) == F.col("_of")), "left")
+    rows, stay = docs.withColumn(t, F.xxhash64(text_col)).alias("d"), stay.alias("s")
+    out = rows.join(stay, F.col(f"d.{id_col}").eqNullSafe(F.col("s.id")) & (F.col(f"d.{t}") == F.col("s.t")), "left").select("d.*", F.col("s.stay").alias(k))
     out = out.withColumn(ls, parts(text))
-    blank = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: ~F.get(F.col(ls), i).rlike(WORD))
+    blank = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.ltrim(F.get(F.col(ls), i), F.lit(WHITE)) == "")
     stays = F.sort_array(F.array_union(F.coalesce(F.col(k), F.array().cast("array<int>")), blank))
     out = out.withColumn(k, F.when(text.isNotNull(), stays))
-    out = out.withColumns({"n_lines": F.coalesce(F.size(ls), F.lit(0)).cast("long"), "n_removed": (F.size(ls) - F.size(k)).cast("long")})
     kept = F.when(text.isNotNull(), F.array_join(F.transform(k, lambda i: F.get(F.col(ls), i)), "\n"))
-    named = {text_col: kept, "n_lines": F.when(text.isNotNull(), F.col("n_lines")).otherwise(0), "n_removed": F.when(text.isNotNull(), F.col("n_removed")).otherwise(0)}
+    count = lambda x: F.when(text.isNotNull(), x).otherwise(0).cast("long")
+    named = {text_col: kept, "n_lines": count(F.size(ls)), "n_removed": count(F.size(ls) - F.size(k))}
     if "n_chars" in docs.columns:
         named["n_chars"] = F.coalesce(F.length(kept), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.withColumns(named).select(*docs.columns, "n_lines", "n_removed")

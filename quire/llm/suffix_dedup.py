@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import free_name, freed, salt_of, salted_lookup, written
+from quire.llm.common import free_name, salt_of, salted_lookup, written
 
 LENGTH = 200
 GRAM = 32
@@ -241,7 +241,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     """
     runs = written(docs.select(text_col).mapInArrow(_runs(length, gram), "key long, digest long, t1 long, t2 long, lo long, n long"))
     keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("runs"), (F.min("digest") != F.max("digest")).alias("differ")).filter("runs > 1").drop("runs")
-    hits = freed(written(runs.join(written(keys), "key")))  # two plain exchanges, so adaptive execution can split a hot anchor's runs
+    hits = (written(runs.join(written(keys), "key")))  # two plain exchanges, so adaptive execution can split a hot anchor's runs
     same = hits.filter("not differ")
     differ = hits.filter("differ")
     kinds = differ.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("t1", "t2", "lo", "n")).alias("one"))
