@@ -11,17 +11,22 @@ from quire.llm.common import WHITE, free_name, words_of, written
 
 #: Similarity of word sets from which the later line goes: NUM / DEN.
 NUM, DEN = 4, 5
-#: Token counts are kept in 2^BUCKETS buckets: a table of that many longs, whatever the corpus.
-BUCKETS = 16
+#: Token counts are kept in 2^BUCKETS buckets: a table of that many bytes, whatever the corpus.
+BUCKETS = 20
 #: Levels of rarity a doubling; a level fits seven bits.
 FINE = 4
 
 
+def _tokens(line: Column) -> Column:
+    """Distinct words of a line, as 64-bit hashes."""
+    return F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
+
+
 def shingles(text: Column, n: int = 5) -> Column:
-    """Runs of n words in lower case, as 64-bit hashes; a shorter text is one run."""
+    """Distinct runs of n words in lower case, as 64-bit hashes; a shorter text is one run."""
     # bound by an outer lambda, the words are split once and not for each run
     runs = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda k: F.xxhash64(F.slice(ws, k, n)))
-    return F.get(F.transform(F.array(words_of(F.lower(text))), runs), 0)
+    return F.array_distinct(F.get(F.transform(F.array(words_of(F.lower(text))), runs), 0))
 
 
 def _lines(text: Column) -> Column:
@@ -33,17 +38,20 @@ def _bucket(token: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row with one array, levels: for each bucket how often the corpus has its words, on a log scale, in the bits that sort a token.
+    """One row with one array, levels: a byte a bucket that says how often the corpus has its words, on a log scale.
 
     All words of all texts are counted. Any total order of tokens keeps the join exact; buckets and levels only make it
-    coarser than counts. The array has a fixed size; it is a table that queries read, no literal in their plans.
+    coarser than counts. The array has a fixed size and is put together from 1,024 parts; it is a table that queries
+    read by a subquery, no literal in their plans.
     """
     words = docs.select(F.explode(words_of(F.col(text_col))).alias("w"))
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
     every = docs.sparkSession.range(1 << BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("count"))
     counts = counts.unionByName(every).groupBy("b").agg(F.sum("count").alias("n"))
-    level = F.shiftleft(F.least(F.lit(126), F.floor(F.log2(F.col("n") + 1) * FINE)).cast("long"), 56)
-    return written(counts.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("b", level.alias("k")))), lambda x: x["k"]).alias("levels")))
+    level = F.least(F.lit(126), F.floor(F.log2(F.col("n") + 1) * FINE)).cast("tinyint")
+    values = lambda name: F.transform(F.sort_array(F.collect_list(F.struct(name, "k"))), lambda x: x["k"])
+    parts = counts.select("b", level.alias("k")).groupBy(F.shiftright("b", 10).alias("p")).agg(values("b").alias("k"))
+    return written(parts.groupBy().agg(F.flatten(values("p")).alias("levels")))
 
 
 def _up(a: Column, num: int, den: int) -> Column:
@@ -56,17 +64,20 @@ def _overlap(n: Column, m: Column) -> Column:
     return _up(n + m, NUM, NUM + DEN)
 
 
-def _company(classes: DataFrame) -> DataFrame:
-    """Of the tokens of all prefixes those that several classes have: tok, c, n, i (place, from 1), bits, first.
+def _prefixes(classes: DataFrame) -> DataFrame:
+    """A row for each token of each prefix: tok, c, n, i (place, from 1), bits."""
+    return classes.select("c", "n", "bits", F.posexplode("prefix").alias("i", "tok")).select("tok", "c", "n", (F.col("i") + 1).alias("i"), "bits")
+
+
+def _with_earliest(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a class b and the earliest class a that has one of its tokens too, where the filters let them meet.
 
-    first is the earliest class with the token, where the filters let it meet this one. Tokens are dealt out once and read in
-    order of c, so a token without company ends here, and no group is held in memory.
+    Of the prefixes that part is enough in which similar sets of equal size share a token. A token's rows are read once in order
+    of c, none of them is held.
     """
-    rows = classes.select("c", "n", "bits", F.posexplode("prefix").alias("i", "tok")).select("tok", "c", "n", (F.col("i") + 1).alias("i"), "bits")
-    by = Window.partitionBy("tok").orderBy("c")
-    rows = rows.select("*", F.first(F.struct("c", "n", "i", "bits")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("a"), F.lead("c").over(by).alias("next"))
-    rows = rows.filter((F.col("a.c") < F.col("c")) | F.col("next").isNotNull()).alias("b")
-    return rows.select("tok", "c", "n", "i", "bits", F.when(_may_match(), F.col("a.c")).alias("first"))
+    rows = _prefixes(classes).filter(F.col("i") <= F.col("n") - _overlap(F.col("n"), F.col("n")) + 1)
+    first = F.first(F.struct("c", "n", "i", "bits")).over(Window.partitionBy("tok").orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.select("*", first.alias("a")).alias("b").filter(_may_match()).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
 
 
 def _may_match() -> Column:
@@ -83,8 +94,8 @@ def _may_match() -> Column:
     )
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, parts: Callable[[Column], Column], units: Callable[[Column], Column]) -> DataFrame:
-    """Of pairs (a, b) of classes those whose sets are similar, counted on the lines' own units: the later ones, b, distinct."""
+def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, parts: Callable[[Column], Column], tokens: Callable[[Column], Column]) -> DataFrame:
+    """Of pairs (a, b) of classes those whose whole token sets are similar: the later ones, b, distinct."""
     pairs = written(pairs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "id", "t", "no"), "c")
     asked = written(needed.groupBy("id", "t").agg(F.collect_list(F.struct("no", "c")).alias("asked"))).alias("q")  # bounded by a text's lines
@@ -93,7 +104,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     # bound by an outer lambda, a text is split once and not for each of its lines
     picked = F.transform(F.array(parts(F.col("text"))), lambda ls: F.transform("asked", lambda a: F.struct(a["c"].alias("c"), F.get(ls, a["no"]).alias("line"))))
     found = found.select(F.explode(F.get(picked, 0)).alias("x"))
-    sets = written(found.select(F.col("x.c").alias("c"), F.array_distinct(units(F.col("x.line"))).alias("s")).dropDuplicates(["c"]))
+    sets = written(found.select(F.col("x.c").alias("c"), tokens(F.col("x.line")).alias("s")).dropDuplicates(["c"]))
     both = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return written(both.filter(shared * (NUM + DEN) >= (F.size("sa") + F.size("sb")) * NUM).select("b").distinct())
@@ -109,11 +120,11 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: Callable[[Column], Column] = _lines, units: Callable[[Column], Column] = words_of, ranked: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: Callable[[Column], Column] = _lines, tokens: Callable[[Column], Column] = _tokens, ranked: bool = True
 ) -> DataFrame:
     """Every row of docs with its text without the lines that an earlier line is similar to, and n_lines, n_removed.
 
-    Lines are the parts between newlines; their tokens are their distinct words, unless parts and units say otherwise. A line goes if any line before it, by
+    Lines are the parts between newlines; their tokens are their distinct words, unless parts and tokens say otherwise. A line goes if any line before it, by
     id (null last), place of its text among rows that repeat the id, and line number, has a Jaccard similarity of NUM / DEN or
     more, whether or not that line goes itself. Lines without a word stay and match nothing. Null texts stay null; rows
     that repeat both id and text share their lines' fate. Lines of any length are compared whole. An empty table gives an empty result.
@@ -122,19 +133,18 @@ def dedup_lines(
     1. Equal token sets are one class, that of its first line; classes are numbered in order of first lines. (Sets
        are equal if 128 bits of hash over 56 bits a token are.)
     2. Each class's tokens are ordered by rarity (ranked) or hash; only its prefix, in which any similar set must share a
-       token, is joined, and of that only tokens that other prefixes have too.
+       token, is joined.
     3. First each class meets only the earliest class of each of its prefix tokens, which is linear in any group of
        near copies. Classes found similar there are done; the others, as later lines, meet all that pass the filters.
-    4. Similarity is computed from the words of both lines.
+    4. Similarity is computed from the tokens of both lines. (Tokens are 64-bit hashes of words.)
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed")])
     text = F.col(text_col)
-    table = rarity(docs, text_col).scalar() if ranked else F.lit(None).cast("array<long>")
+    table = rarity(docs, text_col).scalar() if ranked else F.lit(None).cast("array<tinyint>")
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), table.alias("levels"), F.posexplode(parts(text)).alias("no", "line"))
-    key = lambda h: F.get("levels", _bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 8)) if ranked else F.shiftrightunsigned(h, 8)
+    key = lambda h: (F.shiftleft(F.get("levels", _bucket(h)).cast("long"), 56) if ranked else F.lit(0)).bitwiseOR(F.shiftrightunsigned(h, 8))
     # the row of levels is used in one place, so the optimizer moves its subquery there and no row carries it
-    hashes = F.transform(units(F.col("line")), lambda w: F.xxhash64(w))
-    lines = lines.filter(F.ltrim("line", F.lit(WHITE)) != "").select("id", "t", "no", F.sort_array(F.transform(F.array_distinct(hashes), key)).alias("s"))
+    lines = lines.filter(F.ltrim("line", F.lit(WHITE)) != "").select("id", "t", "no", F.sort_array(F.transform(tokens(F.col("line")), key)).alias("s"))
     n = F.size("s")
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
     # in prefixes 31 bits of a token do: equal ones by chance are only candidates that the filters and the similarity turn down
@@ -149,11 +159,10 @@ def dedup_lines(
     classes = classes.select("first.id", "first.t", "first.no", "n", "bits", "prefix").orderBy(F.col("id").asc_nulls_last(), "t", "no")
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()))
 
-    company = written(_company(classes))
-    done = _similar(company.filter("first is not null").select(F.col("first").alias("a"), F.col("c").alias("b")).distinct(), classes, docs, id_col, text_col, parts, units)
-    rest = company.drop("first").join(done.withColumnRenamed("b", "c"), "c", "left_anti")
-    pairs = company.drop("first").alias("a").join(rest.alias("b"), (F.col("a.tok") == F.col("b.tok")) & _may_match()).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
-    more = _similar(pairs, classes, docs, id_col, text_col, parts, units)
+    done = _similar(_with_earliest(classes), classes, docs, id_col, text_col, parts, tokens)
+    rest = _prefixes(classes.join(done.withColumnRenamed("b", "c"), "c", "left_anti"))
+    pairs = _prefixes(classes).alias("a").join(rest.alias("b"), (F.col("a.tok") == F.col("b.tok")) & _may_match()).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
+    more = _similar(pairs, classes, docs, id_col, text_col, parts, tokens)
     gone = done.unionByName(more).withColumnRenamed("b", "c")
     stay = classes.select("c", "id", "t", "no").join(gone, "c", "left_anti").groupBy("id", "t").agg(F.collect_list("no").alias("stay"))
 
