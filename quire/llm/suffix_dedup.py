@@ -3,14 +3,16 @@
 A global suffix array has no bounded part, so the corpus is cut by content first. In each window of LENGTH bytes
 the least hash of its GRAM-byte strings marks an anchor; equal windows have equal anchors at equal places. Windows that
 follow each other with the same anchor are a run. Copies of a window thus lie in runs of one anchor hash, and
-enhanced suffix arrays over the runs of each such hash find all of them.
+enhanced suffix arrays over the runs of each such hash find all of them. Where an anchor has more kinds of runs than one
+array takes, its runs are cut once more by content, at fixed places relative to the anchor, and each part with the
+same core has its own array.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,10 @@ LENGTH = 200
 GRAM = 32
 #: Bytes whose anchors are found at once; a place takes PLACE bits.
 CHUNK, PLACE = 1 << 21, 22
-#: Runs of one anchor that a suffix array takes; anchors with more are settled window by window, over all tasks.
-MOST = 100
+#: Kinds of runs that one suffix array takes: it bounds a task's memory, at about a hundred windows of LENGTH bytes a kind.
+KINDS = 2000
+#: Where there are more, runs are cut into parts of so many windows, then, of parts whose core still has more, into single windows.
+WIDTHS = (16, 1)
 _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 _TEXT = (("t1", "long"), ("t2", "long"))
 
@@ -54,8 +58,8 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
-def runs_of(data: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts laid end to end (ends: where each ends): anchor hashes, first windows and last windows of runs."""
+def runs_of(data: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts laid end to end (ends: where each ends): anchor hashes, first windows, last windows and anchors' places of runs."""
     found = []
     step, first = CHUNK - length, 0
     raw = np.frombuffer(data, np.uint8)
@@ -78,17 +82,17 @@ def runs_of(data: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRA
             last = np.ones(len(anchor), bool)
             last[:-1] = (anchor[1:] != anchor[:-1]) | ~inside[1:]
             hi = np.flatnonzero(inside & last)
-            found.append((h[anchor[lo]], lo + first, hi + first))
+            found.append((h[anchor[lo]], lo + first, hi + first, anchor[lo] + first))
             first += step + 1
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _runs(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     from xxhash import xxh3_64_intdigest
 
-    names = ["key", "digest", "t1", "t2", "lo", "n"]
+    names = ["key", "digest", "t1", "t2", "lo", "n", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,11 +101,11 @@ def _runs(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             ends = np.cumsum(sizes)
             if not len(data):
                 continue
-            key, lo, hi = runs_of(data, ends, length, gram)
+            key, lo, hi, at_ = runs_of(data, ends, length, gram)
             of = np.searchsorted(ends, lo, "right")
             digest = np.fromiter((xxh3_64_intdigest(data[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(lo))
             ids = np.array([_halves(t) for t in texts], np.int64).reshape(-1, 2)[of]
-            columns = [key.view(np.int64), digest.view(np.int64), ids[:, 0], ids[:, 1], lo - (ends - sizes)[of], hi - lo + 1]
+            columns = [key.view(np.int64), digest.view(np.int64), ids[:, 0], ids[:, 1], lo - (ends - sizes)[of], (hi - lo + 1).astype(np.int32), (at_ - lo).astype(np.int32)]
             for at in range(0, len(lo), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[at : at + 50_000])) for c in columns], names)
 
@@ -166,104 +170,167 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_CUT = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary())])
+_PART = pa.schema([*_CUT, ("k0", pa.int64()), ("d0", pa.int64()), ("off", pa.int32())])
+_DDL = "key long, digest long, t1 long, t2 long, lo long, n int, at int, bytes binary"
+_PART_DDL = f"{_DDL}, k0 long, d0 long, off int"
+_SPAN_DDL = "t1 long, t2 long, a long, b long"
+_SPAN = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_GROUP_DDL = "group long, size long, key long, digest long, off int"
+_GROUP = pa.schema([("group", pa.int64()), ("size", pa.int64()), ("key", pa.int64()), ("digest", pa.int64()), ("off", pa.int32())])
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema.names)
+
+
 def _cut(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts with the runs asked of them -> the runs' bytes."""
+    """Texts with the runs asked of them -> the runs with their bytes, and whether their anchor has too many kinds."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows: list[dict] = []
             for t1, t2, blob, asked in zip(*(batch.column(c) for c in ("t1", "t2", "blob", "asked")), strict=True):
-                data = unpack.decompress(blob.as_py())
-                rows += [{"key": x["key"], "t1": t1.as_py(), "t2": t2.as_py(), "lo": x["lo"], "n": x["n"], "many": x["many"], "copies": x["copies"], "bytes": data[x["lo"] : x["lo"] + x["n"] + length - 1]} for x in asked.as_py()]
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_CUT)
-                    rows = []
-            yield pa.RecordBatch.from_pylist(rows, schema=_CUT)
+                data, t1, t2 = unpack.decompress(blob.as_py()), t1.as_py(), t2.as_py()
+                for x in asked.as_py():
+                    yield x["key"], x["digest"], t1, t2, x["lo"], x["n"], x["at"], data[x["lo"] : x["lo"] + x["n"] + length - 1], x["many"]
 
-    return run
+    return lambda batches: _batches(rows(batches), pa.schema([*_CUT, ("many", pa.bool_())]))
 
 
-_CUT = pa.schema([("key", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("many", pa.bool_()), ("copies", pa.int64()), ("bytes", pa.binary())])
-_CUT_DDL = "key long, t1 long, t2 long, lo long, n long, many boolean, copies long, bytes binary"
-_SPAN_DDL = "t1 long, t2 long, a long, b long"
-_SPAN = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-
+def _parts(width: int, length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs -> their parts of at most `width` windows, cut where the windows' distance to the anchor is a multiple of it.
 
-def _search(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Runs sorted by anchor -> spans of repeats; one anchor's runs are held at a time."""
+    All windows of a part hold its core: the bytes that windows at any distance of its range have in common. Equal windows lie at
+    equal distances, so they are in parts of equal range and core, which are the new key.
+    """
+    from xxhash import xxh3_64_intdigest as h
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for key, _, t1, t2, lo, n, at, data, k0, d0, off in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first = 0
+                while first < n:
+                    k = (at - first) // width  # distances from k * width on
+                    last = min(n - 1, at - k * width)
+                    core = data[at - k * width : at - (k + 1) * width + 1 + length]
+                    part = data[first : last + length]
+                    yield _signed(h(core, (key + k) & (1 << 64) - 1)), _signed(h(part)), t1, t2, lo + first, last - first + 1, at - first, part, k0, d0, off + first
+                    first = last + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[dict] = []
-        for _, group in groupby(rows(batches), key=lambda r: r[0]):
-            members = list(group)
-            if len(members) < 2:
-                continue
+    return lambda batches: _batches(rows(batches), _PART)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Groups of rows of one key, from rows sorted by it; one group is held at a time."""
+    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in _CUT.names), strict=True))
+    return (list(group) for _, group in groupby(rows, key=lambda r: r[0]))
+
+
+def _spans(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs sorted by key -> spans of repeats in texts, merged within each run."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for members in _by_key(batches):
             spans: dict[int, list[tuple[int, int]]] = {}
-            for size, places in maximal_repeats([m[7] for m in members], [m[4] for m in members], length):
+            for size, places in maximal_repeats([m[7] for m in members], [m[5] for m in members], length):
                 for k, at in places:
                     spans.setdefault(k, []).append((at, at + size))
             for k, found in spans.items():
-                _, t1, t2, lo, *_ = members[k]
-                out += [{"t1": t1, "t2": t2, "a": lo + a, "b": lo + b} for a, b in _union(found)]
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_pylist(out, schema=_SPAN)
-                out = []
-        yield pa.RecordBatch.from_pylist(out, schema=_SPAN)
+                _, _, t1, t2, lo, *_ = members[k]
+                yield from ((t1, t2, lo + a, lo + b) for a, b in _union(found))
 
-    return run
+    return lambda batches: _batches(rows(batches), _SPAN)
 
 
-def _windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each window of runs by its own 128-bit hash."""
+def _groups(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs sorted by key -> a row for each member of each maximal repeat: group, size, the run and the place in it."""
+    from xxhash import xxh3_64_intdigest as h
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, t1, t2, lo, n, data in zip(*(batch.column(c).to_pylist() for c in ("key", "t1", "t2", "lo", "n", "bytes")), strict=True):
-                ids = [_halves(data[k : k + length]) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in ids], pa.int64()), pa.array([x for _, x in ids], pa.int64()), pa.array([t1] * n, pa.int64()), pa.array([t2] * n, pa.int64()), pa.array(range(lo, lo + n), pa.int64())], ["w1", "w2", "t1", "t2", "a"])
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for members in _by_key(batches):
+            for size, places in maximal_repeats([m[7] for m in members], [m[5] for m in members], length):
+                k, at = places[0]
+                group = _signed(h(members[k][7][at : at + size], members[k][0] & (1 << 64) - 1))
+                yield from ((group, size, members[k][0], members[k][1], at) for k, at in places)
 
-    return run
+    return lambda batches: _batches(rows(batches), _GROUP)
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """(t1, t2, a, b): byte spans [a, b) of texts, named by their 128-bit hash, that repeats of `length` bytes cover; spans may overlap.
+def _searched(docs: DataFrame, text_col: str, length: int, gram: int, most: int) -> tuple[DataFrame, DataFrame, list[tuple[DataFrame, DataFrame]]]:
+    """What the suffix arrays work on: all runs of anchors with several, those that equal another, and levels.
+
+    A level has a table of runs or parts with bytes, all kinds of a key at most `most` rows, and a table that says which runs each kind
+    stands for: key, digest, k0, d0 (the run's anchor and digest), off (where in the run it starts).
 
     1. Runs of all texts, and per anchor hash how many there are and whether their bytes differ (by a 64-bit digest each).
-    2. Anchors with one run are out. Where all runs are the same bytes, all are covered: no text moves for those.
-    3. Where bytes differ, one run of each kind goes to the anchor's suffix array; kinds with several copies are covered anyway.
-    4. Anchors with more than `most` kinds of runs are split: their windows are counted by hash over all tasks, so no
-       task holds a hot anchor.
+    2. Anchors with one run are out. Runs that equal another of their anchor are covered whole, and no text moves for them.
+    3. One run of each kind goes to its anchor's suffix array.
+    4. Anchors with more than `most` kinds are split: parts of runs are grouped by the core that their windows share, equal parts are
+       covered, and one of each kind goes to the core's suffix array, or is split again, at last into single windows, whose kinds are one.
     """
-    runs = written(docs.select(text_col).mapInArrow(_runs(length, gram), "key long, digest long, t1 long, t2 long, lo long, n long"))
+    runs = written(docs.select(text_col).mapInArrow(_runs(length, gram), "key long, digest long, t1 long, t2 long, lo long, n int, at int"))
     keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("runs"), (F.min("digest") != F.max("digest")).alias("differ")).filter("runs > 1").drop("runs")
-    hits = (written(runs.join(written(keys), "key")))  # two plain exchanges, so adaptive execution can split a hot anchor's runs
-    same = hits.filter("not differ")
+    hits = written(runs.join(written(keys), "key"))  # two plain exchanges, so adaptive execution can split a hot anchor's runs
     differ = hits.filter("differ")
-    kinds = differ.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("t1", "t2", "lo", "n")).alias("one"))
-    kinds = written(kinds)
+    kinds = written(differ.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("t1", "t2", "lo", "n", "at")).alias("one")))
+    copies = kinds.filter("copies > 1").select("key", "digest")
+    several = salted_lookup(differ, copies, ["key", "digest"], salt_of(F.col("t1"), F.col("lo"), salts=64))
+    equal = hits.filter("not differ").unionByName(several).select("key", "digest", "t1", "t2", "lo", "n")
+
     sizes = kinds.groupBy("key").agg((F.count(F.lit(1)) > most).alias("many"))
-    asked = salted_lookup(kinds, sizes, ["key"], salt_of(F.col("digest"), salts=64)).select("key", "copies", "many", "one.*")
-    asked = asked.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "lo", "n", "many", "copies")).alias("asked"))  # a text's runs
+    asked = salted_lookup(kinds, sizes, ["key"], salt_of(F.col("digest"), salts=64)).select("key", "digest", "many", "one.*")
+    asked = asked.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "digest", "lo", "n", "at", "many")).alias("asked"))  # a text's runs
     texts = docs.select(text_col).mapInArrow(_packed, "t1 long, t2 long, blob binary").dropDuplicates(["t1", "t2"])
-    cut = written(texts.join(asked, ["t1", "t2"]).mapInArrow(_cut(length), _CUT_DDL))
+    cut = written(texts.join(asked, ["t1", "t2"]).mapInArrow(_cut(length), f"{_DDL}, many boolean"))
+    own = [F.col("key").alias("k0"), F.col("digest").alias("d0"), F.lit(0).alias("off")]
+    levels = [(cut.filter("not many").drop("many"), kinds.select("key", "digest", *own))]
+    rest = cut.filter("many").drop("many").select("*", *own)
+    for width in WIDTHS:
+        if rest.isEmpty():
+            break
+        parts = written(rest.mapInArrow(_parts(width, length), _PART_DDL))
+        found = written(parts.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("copies")))
+        kinds_ = salted_lookup(found, found.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")), ["key"], salt_of(F.col("digest"), salts=64)).filter("copies > 1 or kinds > 1")
+        marked = written(salted_lookup(parts, kinds_, ["key", "digest"], salt_of(F.col("t1"), F.col("lo"), salts=64)))
+        equal = equal.unionByName(marked.filter("copies > 1").select("key", "digest", "t1", "t2", "lo", "n"))
+        ones = written(marked.dropDuplicates(["key", "digest"]))
+        levels.append((ones.filter(F.col("kinds") <= most).select(*_CUT.names), marked.select("key", "digest", "k0", "d0", "off")))
+        rest = ones.filter(F.col("kinds") > most).select(*_PART.names)
+    return hits, equal, levels
+
+
+def _arrays(table: DataFrame) -> DataFrame:
+    return table.repartition("key").sortWithinPartitions("key")
+
+
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = KINDS) -> DataFrame:
+    """(t1, t2, a, b): byte spans [a, b) of texts, named by their 128-bit hash, that repeats of `length` bytes cover; spans may overlap."""
+    _, equal, levels = _searched(docs, text_col, length, gram, most)
+    out = equal.select("t1", "t2", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + (length - 1)).alias("b"))
+    for table, _ in levels:
+        out = out.unionByName(_arrays(table).mapInArrow(_spans(length), _SPAN_DDL))
+    return out
 
-    few = cut.filter("not many").repartition("key").sortWithinPartitions("key")
-    found = few.mapInArrow(_search(length), _SPAN_DDL)
-    windows = cut.filter("many").mapInArrow(_windows(length), "w1 long, w2 long, t1 long, t2 long, a long")
-    twice = windows.groupBy("w1", "w2").count().filter("count > 1").drop("count")
-    loose = salted_lookup(windows, twice, ["w1", "w2"], salt_of(F.col("t1"), F.col("a"), salts=64))
-    copies = kinds.filter("copies > 1").select("key", "digest")
-    several = salted_lookup(differ, copies, ["key", "digest"], salt_of(F.col("t1"), F.col("lo"), salts=64))
-    whole = lambda df: df.select("t1", "t2", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + (length - 1)).alias("b"))
-    return whole(same).unionByName(whole(several)).unionByName(found).unionByName(loose.select("t1", "t2", "a", (F.col("a") + length).alias("b")))
+
+def repeat_groups(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = KINDS) -> DataFrame:
+    """(group, size, t1, t2, start): every occurrence of each maximal repeat of at least `length` bytes, texts named by their 128-bit hash.
+
+    A repeat is maximal within the runs that one suffix array holds: one that goes on beyond a run is there in pieces, one for
+    each anchor, which overlap by length - 1 bytes. Repeated texts are one text. Empty tables and texts without repeats give no rows.
+    """
+    hits, equal, levels = _searched(docs, text_col, length, gram, most)
+    place = lambda df: df.select("group", "size", "t1", "t2", "start").distinct()
+    out = place(equal.select(F.xxhash64("key", "digest").alias("group"), (F.col("n") + (length - 1)).cast("long").alias("size"), "t1", "t2", F.col("lo").alias("start")))
+    for table, stands in levels:
+        found = _arrays(table).mapInArrow(_groups(length), _GROUP_DDL).withColumnRenamed("off", "in_part")
+        found = found.join(stands, ["key", "digest"]).select("group", "size", F.col("k0").alias("key"), F.col("d0").alias("digest"), (F.col("off") + F.col("in_part")).alias("off"))
+        out = out.unionByName(place(found.join(hits, ["key", "digest"]).withColumn("start", F.col("lo") + F.col("off"))))
+    return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = KINDS) -> DataFrame:
     """A row for each row of docs: id, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256.
 
     Every byte that a string of `length` bytes found elsewhere too covers is removed, judged on the input; n_spans counts
