@@ -28,7 +28,7 @@ GRAM = 32
 #: Bytes whose anchors are found at once; a place takes PLACE bits.
 CHUNK, PLACE = 1 << 21, 22
 #: Kinds of runs that one suffix array takes: it bounds a task's memory, at about a hundred windows of LENGTH bytes a kind.
-KINDS = 2000
+KINDS = 1000
 #: Where there are more, runs are cut into parts of so many windows, then, of parts whose core still has more, into single windows.
 WIDTHS = (16, 1)
 _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
@@ -124,14 +124,17 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def maximal_repeats(strings: list[bytes], windows: list[int], length: int = LENGTH) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Maximal repeats of at least `length` bytes among strings: (size, all occurrences as (string, start)).
+def _suffixes(strings: list[bytes], windows: list[int]) -> list[tuple[bytes, int, int]]:
+    """Sorted suffixes (bytes, string, start) that start at the first windows[k] places of string k."""
+    return sorted((s[at:], k, at) for k, (s, n) in enumerate(zip(strings, windows, strict=True)) for at in range(n))
+
+
+def _intervals(suffixes: list[tuple[bytes, int, int]], strings: list[bytes], length: int) -> Iterator[tuple[int, int, int]]:
+    """(size, first, last) of the maximal repeats of at least `length` bytes among sorted suffixes, inner ones before outer ones.
 
-    Suffixes that start at the first windows[k] places of string k are sorted; a stack over the common prefixes of
-    neighbours walks the tree of intervals. An interval whose suffixes all follow the same byte is part of a longer repeat
-    and is left out; one with different bytes before it, or at a string's start, is output with every suffix in it.
+    A stack over the common prefixes of neighbours walks the tree of intervals. Each knows the byte before all its suffixes, or that
+    they differ (None, as at a string's start); one whose suffixes all follow the same byte is part of a longer repeat and is left out.
     """
-    suffixes = sorted((s[at:], k, at) for k, (s, n) in enumerate(zip(strings, windows, strict=True)) for at in range(n))
 
     def common(x: bytes, y: bytes) -> int:
         if x[:length] != y[:length]:
@@ -140,23 +143,37 @@ def maximal_repeats(strings: list[bytes], windows: list[int], length: int = LENG
         differ = int.from_bytes(x[length:n], "big") ^ int.from_bytes(y[length:n], "big")
         return n - (differ.bit_length() + 7) // 8
 
-    out: list[tuple[int, list[tuple[int, int]]]] = []
-
-    def close(size: int, first: int, last: int) -> None:
-        members = [(k, at) for _, k, at in suffixes[first : last + 1]]
-        before = {strings[k][at - 1] if at else -1 for k, at in members}
-        if len(before) > 1 or -1 in before:
-            out.append((size, members))
-
-    stack: list[tuple[int, int]] = []  # (common prefix, first suffix)
+    stack: list[list] = []  # common prefix, first suffix, byte before
     for k in range(1, len(suffixes) + 1):
-        size, first = common(suffixes[k - 1][0], suffixes[k][0]) if k < len(suffixes) else 0, k - 1
+        x, which, at = suffixes[k - 1]
+        size, first, before = common(x, suffixes[k][0]) if k < len(suffixes) else 0, k - 1, strings[which][at - 1] if at else None
         while stack and stack[-1][0] > size:
-            top, first = stack.pop()
-            close(top, first, k - 1)
-        if size and (not stack or stack[-1][0] < size):
-            stack.append((size, first))
-    return out
+            top, first, own = stack.pop()
+            before = own if own == before else None
+            if before is None:
+                yield top, first, k - 1
+        if size and stack and stack[-1][0] == size:
+            stack[-1][2] = before if before == stack[-1][2] else None
+        elif size:
+            stack.append([size, first, before])
+
+
+def maximal_repeats(strings: list[bytes], windows: list[int], length: int = LENGTH) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Maximal repeats of at least `length` bytes among strings: (size, all occurrences as (string, start))."""
+    suffixes = _suffixes(strings, windows)
+    return [(size, [(k, at) for _, k, at in suffixes[first : last + 1]]) for size, first, last in _intervals(suffixes, strings, length)]
+
+
+def longest_repeats(strings: list[bytes], windows: list[int], length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
+    """(string, start, size) of the longest maximal repeat at each place that has one; memory follows the places, not the groups."""
+    suffixes, without = _suffixes(strings, windows), []
+    seen = 0
+    for size, first, last in _intervals(suffixes, strings, length):
+        without.extend(range(seen, last + 1))
+        seen = last + 1
+        while without and without[-1] >= first:
+            _, k, at = suffixes[without.pop()]
+            yield k, at, size
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -234,9 +251,8 @@ def _spans(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for members in _by_key(batches):
             spans: dict[int, list[tuple[int, int]]] = {}
-            for size, places in maximal_repeats([m[7] for m in members], [m[5] for m in members], length):
-                for k, at in places:
-                    spans.setdefault(k, []).append((at, at + size))
+            for k, at, size in longest_repeats([m[7] for m in members], [m[5] for m in members], length):
+                spans.setdefault(k, []).append((at, at + size))
             for k, found in spans.items():
                 _, _, t1, t2, lo, *_ = members[k]
                 yield from ((t1, t2, lo + a, lo + b) for a, b in _union(found))
@@ -250,10 +266,11 @@ def _groups(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for members in _by_key(batches):
-            for size, places in maximal_repeats([m[7] for m in members], [m[5] for m in members], length):
-                k, at = places[0]
-                group = _signed(h(members[k][7][at : at + size], members[k][0] & (1 << 64) - 1))
-                yield from ((group, size, members[k][0], members[k][1], at) for k, at in places)
+            strings = [m[7] for m in members]
+            suffixes = _suffixes(strings, [m[5] for m in members])
+            for size, first, last in _intervals(suffixes, strings, length):
+                group = _signed(h(suffixes[first][0][:size], members[0][0] & (1 << 64) - 1))
+                yield from ((group, size, members[k][0], members[k][1], at) for _, k, at in suffixes[first : last + 1])
 
     return lambda batches: _batches(rows(batches), _GROUP)
 
