@@ -64,6 +64,11 @@ def _overlap(n: Column, m: Column) -> Column:
     return _up(n + m, NUM, NUM + DEN)
 
 
+def _prefix_size(n: Column) -> Column:
+    """Of a set of n in the order of tokens, so many first ones share a token with any similar set's first ones."""
+    return n - _up(n, NUM, DEN) + 1
+
+
 def _prefixes(classes: DataFrame) -> DataFrame:
     """A row for each token of each prefix: tok, c, n, i (place, from 1), bits."""
     return classes.select("c", "n", "bits", F.posexplode("prefix").alias("i", "tok")).select("tok", "c", "n", (F.col("i") + 1).alias("i"), "bits")
@@ -77,23 +82,38 @@ def _with_earliest(classes: DataFrame) -> DataFrame:
     """
     rows = _prefixes(classes).filter(F.col("i") <= F.col("n") - _overlap(F.col("n"), F.col("n")) + 1)
     first = F.first(F.struct("c", "n", "i", "bits")).over(Window.partitionBy("tok").orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.select("*", first.alias("a")).alias("b").filter(_may_match()).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
+    n, m, i, j = (F.col(x) for x in ("a.n", "b.n", "a.i", "b.i"))
+    return rows.select("*", first.alias("a")).alias("b").filter(_may_match() & _in_place(n, m, i, j)).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
 
 
 def _may_match() -> Column:
-    """Length, positional and bit filters for an earlier a and a later b that share a token.
-
-    Positional: with the first shared token at places i and j, at most 1 + min(n - i, m - j) are shared. Bits: each
-    set's tokens xor one bit each, so bits that differ are at most the tokens that differ.
-    """
-    n, m, least = F.col("a.n"), F.col("b.n"), _overlap(F.col("a.n"), F.col("b.n"))
+    """Length and bit filters for an earlier a and a later b that share a token. Bits: each set's tokens xor one bit each, so bits that differ are at most the tokens that differ."""
+    n, m = F.col("a.n"), F.col("b.n")
     return (
         (F.col("a.c") < F.col("b.c")) & (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
-        & (F.least(n - F.col("a.i"), m - F.col("b.i")) + 1 >= least)
-        & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n + m - least * 2)
+        & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n + m - _overlap(n, m) * 2)
     )
 
 
+def _in_place(n: Column, m: Column, i: Column, j: Column) -> Column:
+    """Positional filter: with the first shared token at places i and j, at most 1 + min(n - i, m - j) are shared."""
+    return F.least(n - i, m - j) + 1 >= _overlap(n, m)
+
+
+def _pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share tokens of their prefixes and pass the filters.
+
+    Count filter: of two prefixes, the one that ends first in the order of tokens has all of its tokens that the other set holds in the other
+    prefix too. A set of n has at most n - overlap tokens of its own, so the prefixes share at least all others of that one.
+    """
+    pairs = earlier.alias("a").join(later.alias("b"), (F.col("a.tok") == F.col("b.tok")) & _may_match())
+    pairs = pairs.groupBy(F.col("a.c").alias("a"), F.col("b.c").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
+    pairs = pairs.agg(F.count(F.lit(1)).alias("shared"), F.min("a.i").alias("i"), F.min("b.i").alias("j"))
+    n, m = F.col("n"), F.col("m")
+    least = F.least(*[_prefix_size(x) - x + _overlap(n, m) for x in (n, m)])
+    return pairs.filter(_in_place(n, m, F.col("i"), F.col("j")) & (F.col("shared") >= least)).select("a", "b")
+
+
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, parts: Callable[[Column], Column], tokens: Callable[[Column], Column]) -> DataFrame:
     """Of pairs (a, b) of classes those whose whole token sets are similar: the later ones, b, distinct."""
     pairs = written(pairs)
@@ -135,7 +155,7 @@ def dedup_lines(
     2. Each class's tokens are ordered by rarity (ranked) or hash; only its prefix, in which any similar set must share a
        token, is joined.
     3. First each class meets only the earliest class of each of its prefix tokens, which is linear in any group of
-       near copies. Classes found similar there are done; the others, as later lines, meet all that pass the filters.
+       near copies. Classes found similar there are done; the others, as later lines, meet all that pass the filters of length, bits, places and shared tokens.
     4. Similarity is computed from the tokens of both lines. (Tokens are 64-bit hashes of words.)
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed")])
@@ -151,7 +171,7 @@ def dedup_lines(
     short = lambda k: F.shiftrightunsigned(F.shiftleft(k, 8), 33).cast("int")
     lines = lines.select(
         "id", "t", "no", n.alias("n"), F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(1), "s").alias("c2"),
-        F.aggregate("s", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k))).alias("bits"), F.transform(F.slice("s", 1, n - _up(n, NUM, DEN) + 1), short).alias("prefix"),
+        F.aggregate("s", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k))).alias("bits"), F.transform(F.slice("s", 1, _prefix_size(n)), short).alias("prefix"),
     )
     order = F.struct(F.col("id").isNull().alias("last"), "id", "t", "no")
     classes = lines.groupBy("c1", "c2").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
@@ -161,8 +181,7 @@ def dedup_lines(
 
     done = _similar(_with_earliest(classes), classes, docs, id_col, text_col, parts, tokens)
     rest = _prefixes(classes.join(done.withColumnRenamed("b", "c"), "c", "left_anti"))
-    pairs = _prefixes(classes).alias("a").join(rest.alias("b"), (F.col("a.tok") == F.col("b.tok")) & _may_match()).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
-    more = _similar(pairs, classes, docs, id_col, text_col, parts, tokens)
+    more = _similar(_pairs(_prefixes(classes), rest), classes, docs, id_col, text_col, parts, tokens)
     gone = done.unionByName(more).withColumnRenamed("b", "c")
     stay = classes.select("c", "id", "t", "no").join(gone, "c", "left_anti").groupBy("id", "t").agg(F.collect_list("no").alias("stay"))
 
