@@ -37,15 +37,15 @@ def _bucket(token: Column) -> Column:
     return token.bitwiseAND(F.lit((1 << BUCKETS) - 1)).cast("int")
 
 
-def rarity(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row with one array, levels: a byte a bucket that says how often the corpus has its words, on a log scale.
+def rarity(docs: DataFrame, text_col: str, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One row with one array, levels: a byte a bucket that says how often the corpus has its words (or tokens), on a log scale.
 
     All words of all texts are counted. Any total order of tokens keeps the join exact; buckets and levels only make it
     coarser than counts. The array has a fixed size and is put together from 1,024 parts; it is a table that queries
     read by a subquery, no literal in their plans.
     """
-    words = docs.select(F.explode(words_of(F.col(text_col))).alias("w"))
-    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
+    words = docs.select(F.explode((tokens or words_of)(F.col(text_col))).alias("w"))
+    counts = words.groupBy(_bucket(F.col("w") if tokens else F.xxhash64("w")).alias("b")).count()
     every = docs.sparkSession.range(1 << BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("count"))
     counts = counts.unionByName(every).groupBy("b").agg(F.sum("count").alias("n"))
     level = F.least(F.lit(126), F.floor(F.log2(F.col("n") + 1) * FINE)).cast("tinyint")
@@ -82,42 +82,45 @@ def _with_earliest(classes: DataFrame) -> DataFrame:
     """
     rows = _prefixes(classes).filter(F.col("i") <= F.col("n") - _overlap(F.col("n"), F.col("n")) + 1)
     first = F.first(F.struct("c", "n", "i", "bits")).over(Window.partitionBy("tok").orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    n, m, i, j = (F.col(x) for x in ("a.n", "b.n", "a.i", "b.i"))
-    return rows.select("*", first.alias("a")).alias("b").filter(_may_match() & _in_place(n, m, i, j)).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
+    return rows.select("*", first.alias("a")).alias("b").filter(_may_match()).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
 
 
 def _may_match() -> Column:
-    """Length and bit filters for an earlier a and a later b that share a token. Bits: each set's tokens xor one bit each, so bits that differ are at most the tokens that differ."""
-    n, m = F.col("a.n"), F.col("b.n")
+    """Length, positional and bit filters for an earlier a and a later b that share a token.
+
+    Positional: with the first shared token at places i and j, at most 1 + min(n - i, m - j) are shared. Bits: each
+    set's tokens xor one bit each, so bits that differ are at most the tokens that differ.
+    """
+    n, m, least = F.col("a.n"), F.col("b.n"), _overlap(F.col("a.n"), F.col("b.n"))
     return (
         (F.col("a.c") < F.col("b.c")) & (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
-        & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n + m - _overlap(n, m) * 2)
+        & (F.least(n - F.col("a.i"), m - F.col("b.i")) + 1 >= least)
+        & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n + m - least * 2)
     )
 
 
-def _in_place(n: Column, m: Column, i: Column, j: Column) -> Column:
-    """Positional filter: with the first shared token at places i and j, at most 1 + min(n - i, m - j) are shared."""
-    return F.least(n - i, m - j) + 1 >= _overlap(n, m)
+def _pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that share a token where the filters let them meet, distinct."""
+    return earlier.alias("a").join(later.alias("b"), (F.col("a.tok") == F.col("b.tok")) & _may_match()).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
 
 
-def _pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share tokens of their prefixes and pass the filters.
+def _sharing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those whose prefixes share tokens enough, with the places of both lines.
 
-    Count filter: of two prefixes, the one that ends first in the order of tokens has all of its tokens that the other set holds in the other
-    prefix too. A set of n has at most n - overlap tokens of its own, so the prefixes share at least all others of that one.
+    Of two prefixes, the one that ends first in the order of tokens has all of its tokens that the other set holds in the
+    other prefix too. A set of n has at most n - overlap tokens of its own, so the prefixes share at least the rest of that one.
     """
-    pairs = earlier.alias("a").join(later.alias("b"), (F.col("a.tok") == F.col("b.tok")) & _may_match())
-    pairs = pairs.groupBy(F.col("a.c").alias("a"), F.col("b.c").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
-    pairs = pairs.agg(F.count(F.lit(1)).alias("shared"), F.min("a.i").alias("i"), F.min("b.i").alias("j"))
-    n, m = F.col("n"), F.col("m")
-    least = F.least(*[_prefix_size(x) - x + _overlap(n, m) for x in (n, m)])
-    return pairs.filter(_in_place(n, m, F.col("i"), F.col("j")) & (F.col("shared") >= least)).select("a", "b")
+    side = lambda x: classes.select(F.col("c").alias(x), F.struct("c", "id", "t", "no").alias(f"at_{x}"), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    least = F.least(*[_prefix_size(F.col(x)) - F.col(x) + _overlap(F.col("n_a"), F.col("n_b")) for x in ("n_a", "n_b")])
+    return both.filter(F.size(F.array_intersect("prefix_a", "prefix_b")) >= least).select("a", "b", "at_a", "at_b")
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, parts: Callable[[Column], Column], tokens: Callable[[Column], Column]) -> DataFrame:
     """Of pairs (a, b) of classes those whose whole token sets are similar: the later ones, b, distinct."""
-    pairs = written(pairs)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "id", "t", "no"), "c")
+    pairs = written(_sharing(pairs, classes))
+    needed = pairs.select("at_a.*").unionByName(pairs.select("at_b.*")).distinct()
+    pairs = pairs.select("a", "b")
     asked = written(needed.groupBy("id", "t").agg(F.collect_list(F.struct("no", "c")).alias("asked"))).alias("q")  # bounded by a text's lines
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).alias("d")
     found = texts.join(asked, F.col("d.id").eqNullSafe(F.col("q.id")) & (F.col("d.t") == F.col("q.t")))
@@ -133,14 +136,13 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that an earlier one is similar to: sets of five-word shingles, Jaccard NUM / DEN or more, exactly.
 
-    The join of dedup_lines over whole texts; where lines break does not count. Texts without a word stay. Nearly every
-    shingle is its text's own, so tokens are ordered by their hashes alone.
+    The join of dedup_lines over whole texts; where lines break does not count. Texts without a word stay.
     """
-    return dedup_lines(docs, id_col, text_col, F.array, shingles, ranked=False).filter("n_removed = 0").select(*docs.columns)
+    return dedup_lines(docs, id_col, text_col, F.array, shingles).filter("n_removed = 0").select(*docs.columns)
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: Callable[[Column], Column] = _lines, tokens: Callable[[Column], Column] = _tokens, ranked: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: Callable[[Column], Column] = _lines, tokens: Callable[[Column], Column] = _tokens
 ) -> DataFrame:
     """Every row of docs with its text without the lines that an earlier line is similar to, and n_lines, n_removed.
 
@@ -152,7 +154,7 @@ def dedup_lines(
 
     1. Equal token sets are one class, that of its first line; classes are numbered in order of first lines. (Sets
        are equal if 128 bits of hash over 56 bits a token are.)
-    2. Each class's tokens are ordered by rarity (ranked) or hash; only its prefix, in which any similar set must share a
+    2. Each class's tokens are ordered by rarity; only its prefix, in which any similar set must share a
        token, is joined.
     3. First each class meets only the earliest class of each of its prefix tokens, which is linear in any group of
        near copies. Classes found similar there are done; the others, as later lines, meet all that pass the filters of length, bits, places and shared tokens.
@@ -160,9 +162,9 @@ def dedup_lines(
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed")])
     text = F.col(text_col)
-    table = rarity(docs, text_col).scalar() if ranked else F.lit(None).cast("array<tinyint>")
+    table = rarity(docs, text_col, None if tokens is _tokens else tokens).scalar()
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), table.alias("levels"), F.posexplode(parts(text)).alias("no", "line"))
-    key = lambda h: (F.shiftleft(F.get("levels", _bucket(h)).cast("long"), 56) if ranked else F.lit(0)).bitwiseOR(F.shiftrightunsigned(h, 8))
+    key = lambda h: F.shiftleft(F.get("levels", _bucket(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     # the row of levels is used in one place, so the optimizer moves its subquery there and no row carries it
     lines = lines.filter(F.ltrim("line", F.lit(WHITE)) != "").select("id", "t", "no", F.sort_array(F.transform(tokens(F.col("line")), key)).alias("s"))
     n = F.size("s")
