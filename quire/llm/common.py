@@ -75,7 +75,10 @@ def salted_lookup(rows: DataFrame, table: DataFrame, keys: list[str], salt: Colu
     1 / salts of a hot key's rows. Keys that are null match nothing. With keep_salt the result
     has _salt, and is partitioned by the keys and it.
     """
-    rows = rows.withColumn("_salt", salt)
-    cells = rows.select(*keys, "_salt").distinct().join(table, keys)
-    out = rows.join(cells, [*keys, "_salt"], how)
-    return out if keep_salt else out.drop("_salt")
+    own = "_salt"
+    while not keep_salt and own in {c.lower() for c in (*rows.columns, *table.columns)}:
+        own += "_"
+    rows = rows.withColumn(own, salt)
+    cells = rows.select(*keys, own).distinct().join(table, keys)
+    out = rows.join(cells, [*keys, own], how)
+    return out if keep_salt else out.drop(own)

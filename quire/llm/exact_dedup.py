@@ -29,40 +29,41 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are equal when identical after deleting white space; null counts as empty. Of equal
     texts the row with the most code points in the original text stays, then the smallest id
-    (a null id is last). Rows that repeat id and length of the row that stays: one of them has kept = true.
+    (a null id is last; ids that are no whole numbers go by their own order). Rows that repeat id and length of the row that stays: one of them has kept = true.
     An empty table gives an empty result. Columns of docs come first; one that clashes with an added name is replaced.
 
     Stage 1 combines equal texts inside each input split (Spark's partial aggregation), stage 2
     merges the (digest, salt, text) groups, stage 3 the salt winners of each (digest, text).
     The text itself is a grouping key throughout, so two texts are merged only if they are the
-    same. Stage 3 reads at most SALTS rows of any text, however hot. Rows then meet their
+    same. The salt is a hash of all other columns. Stage 3 reads at most SALTS rows of any text, however hot and long. Rows then meet their
     group's result on digest, length and a second hash of the text, and salt; no text moves there.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("keep_id", "group_size", "kept", "text_sha256")])
     kind = docs.schema[id_col].dataType
-    names = {n: free_name(docs, f"_{n}") for n in ("norm", "points", "digest", "bytes", "second", "salt", "first")}
-    norm, points, digest, size, second, salt, first = names.values()
+    norm, points, digest, size, second, salt, first, most = (free_name(docs, f"_{n}") for n in ("norm", "points", "digest", "bytes", "second", "salt", "first", "most"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns({norm: without_white(text), points: F.length(text)})
-    keyed = keyed.withColumns({digest: F.unhex(F.sha2(F.col(norm).cast("binary"), 256)), salt: salt_of(F.col(id_col), salts=SALTS)})
+    keyed = keyed.withColumns({digest: F.unhex(F.sha2(F.col(norm).cast("binary"), 256)), salt: salt_of(*[F.col(c) for c in docs.columns if c != text_col], salts=SALTS)})
 
-    order = _order_key(F.col(points), F.col(id_col))
+    whole = isinstance(kind, T.IntegralType)
+    order = _order_key(F.col(points), F.col(id_col)) if whole else F.struct((-F.col(points)).alias("less"), F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"))
     cells = keyed.groupBy(digest, salt, norm).agg(F.min(order).alias("_best"), F.count(F.lit(1)).alias("_n"))
     groups = cells.groupBy(digest, norm).agg(
         F.min("_best").alias("_best"), F.sum("_n").alias("group_size"),
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(salt))).alias("_salts"),
     )
-    wide = F.col("_best") % F.lit(Decimal(_ID))
-    keep = F.when(wide < F.lit(Decimal(2**64)), (wide - F.lit(Decimal(2**63))).cast("long")).cast(kind if isinstance(kind, T.IntegralType) else "long")
+    wide = F.col("_best") % F.lit(Decimal(_ID)) if whole else None
+    keep = F.when(wide < F.lit(Decimal(2**64)), (wide - F.lit(Decimal(2**63))).cast("long")).cast(kind) if whole else F.col("_best.id")
+    longest = F.lit(2**31) - F.floor(F.col("_best") / F.lit(Decimal(_ID))) if whole else -F.col("_best.less")
     groups = groups.select(
         digest, F.octet_length(norm).alias(size), F.xxhash64(norm).alias(second), keep.alias("keep_id"), "group_size",
-        (F.lit(2**31) - F.floor(F.col("_best") / F.lit(Decimal(_ID)))).cast("long").alias("_most"),
+        longest.cast("long").alias(most),
         F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit(F.col("_salts"), s) == 1)).alias(salt),
     )
 
     rows = keyed.withColumns({size: F.octet_length(norm), second: F.xxhash64(norm)}).select(*docs.columns, points, digest, size, second, salt)
     out = rows.join(groups, [digest, size, second, salt])
-    stays = F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col(points) == F.col("_most"))
+    stays = F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col(points) == F.col(most))
     return _one_of_repeats(out.withColumn(first, stays), first, [digest, salt, id_col, first]).select(
         *docs.columns, "keep_id", "group_size", F.col(first).alias("kept"), F.lower(F.hex(digest)).alias("text_sha256")
     )

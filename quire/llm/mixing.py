@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,11 +93,10 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     shares = mix(docs, id_col, text_col, source_col, **how)
     size, taken, nth = (free_name(docs, f"_{x}") for x in ("size", "taken", "nth"))
     numbered = lambda df, keys, by: df.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(by)))
-    shares = shares.select(F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.col("size").alias("_z"), F.col("taken").alias(taken))
-    shares = numbered(shares, ["_i", "_s", "_z"], F.col(taken).desc()).withColumnRenamed(nth, "_n")
-    rows = numbered(docs.withColumn(size, word_count(F.col(text_col))), [id_col, source_col, size], F.lit(1))
-    same = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col(size) == F.col("_z")) & (F.col(nth) == F.col("_n"))
-    rows = rows.join(shares, same).filter(F.col(taken) > 0)
+    shares = numbered(shares.select(id_col, source_col, F.col("size").alias(size), F.col("taken").alias(taken)), [id_col, source_col, size], F.col(taken).desc()).alias("s")
+    rows = numbered(docs.withColumn(size, word_count(F.col(text_col))), [id_col, source_col, size], F.lit(1)).alias("r")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (id_col, source_col)] + [F.col(f"r.{c}") == F.col(f"s.{c}") for c in (size, nth)]
+    rows = rows.join(shares, reduce(and_, same)).select("r.*", F.col(f"s.{taken}").alias(taken)).filter(F.col(taken) > 0)
     # an entry for each whole copy (-1), and one with the number of words left over
     whole, part = F.floor(F.col(taken) / F.col(size)).cast("int"), (F.col(taken) % F.col(size)).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))

@@ -111,6 +111,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = free_name(docs, "_text")
     docs_ = docs.withColumn(own, F.xxhash64(text_col))
     first = near_dedup(docs_, id_col, text_col, shingle, (own,)).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    first = first.select(F.col(id_col).alias("_id"), F.col(own).alias("_of")).distinct()
-    rows = docs_.join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(own) == F.col("_of")), "left_semi")
+    first = first.select(F.col(id_col).alias("id"), F.col(own).alias("of")).distinct().alias("f")
+    rows = docs_.alias("d").join(first, F.col(f"d.{id_col}").eqNullSafe(F.col("f.id")) & (F.col(f"d.{own}") == F.col("f.of")), "left_semi")
     return rows.dropDuplicates([id_col, own]).select(*docs.columns)
