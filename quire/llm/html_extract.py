@@ -5,20 +5,20 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z][^<>]*>?""", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_STOP = re.compile(r"""[>"']""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _ABOUT = re.compile(r"(?:has|with|no|without|is|show|hide)[-_]")  # such names speak of something else than the element's own text
 _SPACE = re.compile(r"\s+")
 
-RAW = frozenset("script style template noscript textarea select iframe svg math title object canvas".split())
+RAW = frozenset("script style template noscript textarea select iframe title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html head body p div section article main header footer nav aside form fieldset h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr "
@@ -26,22 +26,30 @@ BLOCKS = frozenset(
 )
 #: A start tag of the key ends open elements of the value, up to a container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "body": {"head"}}
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 SCOPES = frozenset("ul ol dl table div section article main body".split())
 
 #: What a container says about the text in it, as log-odds for content.
 TAG_ODDS = {
-    "article": 4.0, "main": 3.0, "nav": -12.0, "footer": -12.0, "aside": -12.0, "form": -12.0, "header": -5.0, "menu": -12.0, "dialog": -12.0,
-    "button": -12.0, "label": -6.0, "fieldset": -12.0, "head": -20.0, "search": -12.0, "figure": 0.0, "address": -2.0,
+    "article": 3.0, "main": 2.5, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "header": -4.0, "menu": -9.0, "dialog": -9.0,
+    "button": -9.0, "label": -5.0, "fieldset": -9.0, "head": -12.0, "search": -9.0, "figure": 0.0, "address": -2.0,
 }
+#: Names of elements: words that speak for an article, words for boilerplate, and words that say nothing by themselves.
 GOOD = frozenset("article articlebody content post entry story main maincontent body text prose page".split())
 BAD = frozenset(
     "ad ads adv advert adverts advertisement adsense banner promo promotion sponsor sponsored sponsors nav navbar navigation menu menubar breadcrumb breadcrumbs "
-    "footer foot masthead sidebar side aside rail widget widgets related recommended recommendation recommendations more share sharing social follow "
-    "comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices alert warning popup modal overlay "
-    "subscribe subscription newsletter signup login search form copyright legal disclaimer pagination pager tags toolbar skip complementary contentinfo hidden".split()
+    "footer masthead sidebar rail widget widgets related recommended recommendation recommendations share sharing social follow "
+    "comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "subscribe subscription newsletter signup login search form copyright disclaimer pagination pager tags toolbar skip complementary contentinfo".split()
+)
+PLAIN = frozenset(
+    "site global page main top bottom left right inner outer box block bar area section container wrapper wrap list item items links link group row col column "
+    "posts articles stories slot unit button buttons icons icon title heading primary secondary content thread form media bottom widget text policy info legal and".split()
 )
 #: A header with such a name holds the article's title.
 TITLED = frozenset("article post entry story content".split())
+#: What a name takes away or adds, and how much all containers may add up to either way.
+NAMED_BAD, NAMED_GOOD, CAP = 9.5, 2.5, 12.0
 LEAF_ODDS = {"p": 1.5, "h1": 1.0, "h2": 0.7, "h3": 0.7, "h4": 0.5, "blockquote": 1.0, "pre": 1.0, "li": -0.5, "dt": -0.3, "dd": -0.3, "tr": -0.3, "td": -0.3, "div": -0.3}
 #: Smoothness: next block with the same parent, next block elsewhere, previous block under the same grandparent.
 SAME, NEXT, NEAR = 1.5, 0.3, 0.5
@@ -54,23 +62,64 @@ class Block:
         self.text, self.linked, self.tag, self.odds, self.parent, self.grand = text, linked, tag, odds, parent, grand
 
 
+def _speaks_of_boilerplate(name: str) -> bool:
+    """Whether every word of an element's name is for boilerplate or says nothing, and one is for it: related-posts, not related-work."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    bad = [w for w in words if w in BAD or w == "header"]
+    return bool(bad) and all(w in BAD or w in PLAIN or w == "header" for w in words) and not ("header" in bad and len(bad) == 1 and TITLED & set(words))
+
+
 def _container_odds(tag: str, attributes: str, within: float) -> float:
     odds = TAG_ODDS.get(tag, 0.0)
-    if tag == "header" and within > 2:
+    if tag == "header" and within > 1.5:
         odds = -1.5  # a header inside the article may hold its title
-    if attributes:
+    if attributes and tag not in ("html", "body"):
         names = [re.sub(r"(?<=[a-z])(?=[A-Z])", "-", n).lower() for m in _NAMES.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").split()]
-        words = {w for n in names if not _ABOUT.match(n) for w in re.split(r"[^a-z0-9]+", n)}
-        bad = words & BAD or ("header" in words and not words & TITLED)
-        if bad and tag not in ("html", "body", "article", "main"):
-            odds -= 10.0
-        elif words & GOOD and odds >= 0 and tag not in ("html", "body"):
-            odds += 2.5
-        if _HIDDEN.search(attributes):
-            odds -= 12.0
+        names = [n for n in names if not _ABOUT.match(n)]
+        if tag not in ("article", "main") and any(map(_speaks_of_boilerplate, names)):
+            odds -= NAMED_BAD
+        elif odds >= 0 and any(w in GOOD for n in names for w in re.split(r"[^a-z]+", n)):
+            odds += NAMED_GOOD
     return odds
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, tag, attributes) of tags, comments and declarations ("" as tag); the caller may send a place to go on from.
+
+    A tag ends at the first > outside quotes. One that never does ends at the next <. Such searches in vain
+    are given up once they have read the page twice; then any > ends a tag, so the time stays linear.
+    """
+    at, vain, size = 0, 0, len(page)
+    last = page.rfind(">")
+    while m := _OPEN.search(page, at):
+        at = m.end()
+        if page.startswith("<!--", m.start()):
+            end = page.find("-->", at)
+            at = size if end < 0 else end + 3
+            yield m.start(), at, False, "", ""
+            continue
+        end, k = -1, at
+        if vain >= 2 * size or not m[2]:
+            end = page.find(">", at) + 1 or -1 if at <= last else -1
+        else:
+            while stop := _STOP.search(page, k):
+                if stop[0] == ">":
+                    end = stop.end()
+                    break
+                k = page.find(stop[0], stop.end()) + 1
+                if not k:
+                    break
+        if end < 0:
+            vain += size - at
+            end = page.find("<", at)
+            end = size if end < 0 else end
+        attributes, at = page[at : max(at, end - 1)] if m[2] else "", end
+        skip = yield m.start(), end, bool(m[1]), (m[2] or "").lower(), attributes
+        if skip is not None:
+            at = skip
+            yield at, at, False, "", ""  # the answer to send
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; malformed markup is taken as browsers do where that is simple."""
     out: list[Block] = []
@@ -78,6 +127,8 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     links = number = linked = 0
 
+    open_now: Counter[str] = Counter()
+
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip() if parts else ""
@@ -90,32 +141,31 @@ def blocks(page: str) -> list[Block]:
 
     def close(k: int) -> None:
         flush()
+        open_now.subtract(x[0] for x in opened[k:])
         del opened[k:]
 
-    at, raw = 0, ""
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            text = page[at : m.start()]
+    at, tags = 0, _tags(page)
+    for start, end, closing, tag, attributes in tags:
+        if start > at:
+            text = page[at:start]
             parts.append(text)
             linked += len(text) if links else 0
-        at = m.end()
-        tag = (m[2] or "").lower()
+        at = end
         if not tag:
             continue
-        if m[1]:
+        if closing:
             if tag == "a":
                 links = 0
             elif tag in BLOCKS:
-                for k in range(len(opened) - 1, 0, -1):
-                    if opened[k][0] == tag:
-                        close(k)
-                        break
+                if open_now[tag] > 0:
+                    close(next(k for k in range(len(opened) - 1, 0, -1) if opened[k][0] == tag))
             elif tag in ("td", "th"):
                 parts.append(" ")
             continue
         if tag in RAW:
             raw = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = raw.end() if raw else len(page)
+            tags.send(at)
             continue
         if tag == "a":
             links = 1
@@ -125,9 +175,10 @@ def blocks(page: str) -> list[Block]:
             flush()
         elif tag in BLOCKS:
             flush()
-            if opened[-1][0] == "p" or opened[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6") and tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p"):
-                opened.pop()
-            if ends := CLOSES.get(tag):
+            if opened[-1][0] == "p" or opened[-1][0] in HEADINGS and tag in (*HEADINGS, "p"):
+                close(len(opened) - 1)
+            ends = CLOSES.get(tag, ())
+            if any(open_now[x] > 0 for x in ends):
                 for k in range(len(opened) - 1, 0, -1):
                     if opened[k][0] in ends:
                         close(k)
@@ -136,7 +187,8 @@ def blocks(page: str) -> list[Block]:
                         break
             number += 1
             up = opened[-1][1]
-            opened.append((tag, up + _container_odds(tag, m[3] or "", up), number))
+            opened.append((tag, max(-CAP, min(CAP, up + _container_odds(tag, attributes, up))), number))
+            open_now[tag] += 1
             links = 0
     parts.append(page[at:])
     flush()
