@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def is_mathematics(body: str) -> bool:
 
 def checksum(index: int, original: str) -> str:
     """Three hex digits that tie a token to its span."""
-    return hashlib.blake2s(f"{index}\0{original}".encode()).hexdigest()[:3]
+    return hashlib.blake2s(f"{index}\0{original}".encode(), digest_size=2).hexdigest()[:3]
 
 
 @dataclass
@@ -73,7 +74,8 @@ def reordered(order: list[str], wanted: list[str]) -> list[str]:
     """Tokens that stand before one that should come first."""
     place = {t: k for k, t in enumerate(wanted)}
     ranks = [place[t] for t in order]
-    return [t for k, t in enumerate(order) if any(r < ranks[k] for r in ranks[k + 1 :]) or any(r > ranks[k] for r in ranks[:k])]
+    most, least = list(accumulate(ranks, max)), list(accumulate(reversed(ranks), min))[::-1]
+    return [t for t, r, top, low in zip(order, ranks, most, least, strict=True) if top > r or low < r]
 
 
 def restore(text: str, masked: Masked) -> Restored:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IOU = 0.6
+SIDES = ("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
 
 
 def area(b: Column) -> Column:
@@ -23,7 +24,7 @@ def iou(a: Column, b: Column) -> Column:
 
 def drop_duplicate_boxes(blocks: DataFrame, least: float = IOU) -> DataFrame:
     """blocks (page, text, bbox, block_id) without those that repeat a larger block's text on its page and overlap it."""
-    w = Window.partitionBy("page", F.lower(F.trim("text"))).orderBy(area(F.col("bbox")).desc(), "block_id")
+    w = Window.partitionBy("page", F.lower(F.trim("text"))).orderBy(area(F.col("bbox")).desc(), "block_id", *SIDES)
     out = blocks.withColumns({"_keep": F.first("bbox").over(w), "_n": F.row_number().over(w)})
     return out.filter((F.col("_n") == 1) | (iou(F.col("bbox"), F.col("_keep")) < least)).drop("_keep", "_n")
 
@@ -36,7 +37,7 @@ def overlaps(blocks: DataFrame, least: float = IOU, smallest: float = 1.0) -> Da
     """
     if least <= 0:
         raise ValueError("every pair overlaps by 0 or more")
-    n = F.row_number().over(Window.partitionBy("page").orderBy("block_id"))
+    n = F.row_number().over(Window.partitionBy("page").orderBy("block_id", *SIDES))
     base = (1 + 1e-6) / least  # a little wider, so that rounding parts no pair by two classes
     box = F.col("bbox")
     centre = (box["x0"] + box["x1"]) / 2

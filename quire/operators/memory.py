@@ -15,17 +15,55 @@ FUZZY, CANDIDATES, SHINGLES = 0.85, 200, 64
 SALTS = 16
 
 
-def lookup_exact(blocks: DataFrame, memory: DataFrame, text_col: str = "source_text") -> DataFrame:
-    """blocks with tm_text, the best exact hit of memory (src_text, tgt_text, provenance, domain, context_hash, id), or null.
+#: Which stored rows may answer, from best to worst: whether a human's, whether of the same context, whether of the same domain.
+#: A machine's row of another context answers only within its domain, or if it was stored without a context.
+SLOTS = ((True, True, True), (True, True, False), (True, False, True), (True, False, False), (False, True, True), (False, True, False), (False, False, True), (False, False, False))
 
-    Keys are hashes of texts with white space collapsed. Rows that translate a text as itself are out. Best: human
-    before machine, equal context, equal domain, smallest id. One row a key is chosen before the join, so blocks never multiply.
+
+def echoes(provenance: Column, source: Column, target: Column) -> Column:
+    """Whether a stored row only carries its source over: a machine's in any case, a human's to the letter."""
+    s, t = tx.collapsed(source), tx.collapsed(target)
+    return F.when(provenance == "human_pe", s == t).otherwise(F.lower(s) == F.lower(t))
+
+
+def may_answer(provenance: Column, row_context: Column, row_domain: Column, context: Column, domain: Column) -> Column:
+    """Whether a stored row may serve a lookup: a human's always, a machine's of that context, without one, or of that domain."""
+    stored = F.coalesce(row_context, F.lit(""))
+    return (provenance == "human_pe") | (stored == F.coalesce(context, F.lit(""))) | (stored == "") | F.coalesce((row_domain != "") & (row_domain == domain), F.lit(False))
+
+
+def _slots(context: Column, domain: Column, human: Column | None = None) -> Column:
+    """The slots in which a row is kept (human given) or looked for: struct(slot, c, d), empty strings where context or domain don't matter."""
+    c, d, any_ = F.coalesce(context, F.lit("")), F.coalesce(domain, F.lit("")), F.lit("")
+    cells = []
+    for k, (by_human, same_context, same_domain) in enumerate(SLOTS):
+        use = F.lit(True) if human is None else human == F.lit(by_human)
+        if same_domain:
+            use = use & (d != "")
+        if human is not None and not any((by_human, same_context, same_domain)):
+            use = use & (c == "")
+        cells.append(F.when(use, F.struct(F.lit(k).alias("slot"), (c if same_context else any_).alias("c"), (d if same_domain else any_).alias("d"))))
+    return F.filter(F.array(*cells), lambda x: x.isNotNull())
+
+
+def lookup_exact(blocks: DataFrame, memory: DataFrame, text_col: str = "source_text", context: Column | None = None, domain: Column | None = None) -> DataFrame:
+    """blocks with tm_text and tm_id, the best exact hit of memory (src_text, tgt_text, provenance, domain, context_hash, id), or null.
+
+    Texts are equal with white space collapsed. Rows that carry their source over are out, as are those that may not answer. Best: human before machine, the
+    block's context, its domain, then the largest id. Each text keeps one row a slot, context and domain, and each different
+    question (text, context, domain) asks eight slots, so neither a hot text nor repeated blocks multiply.
     """
-    rows = memory.filter(tx.collapsed(F.col("src_text")) != tx.collapsed(F.col("tgt_text"))).withColumn("_key", tx.tm_hash(F.col("src_text")))
-    rank = F.struct((F.col("provenance") != "human_pe").cast("int"), F.col("id"))
-    best = rows.groupBy("_key").agg(F.min_by(F.struct("id", "tgt_text", "provenance"), rank).alias("hit"))
-    out = blocks.withColumn("_key", tx.tm_hash(F.col(text_col))).join(best, "_key", "left")
-    return out.withColumns({"tm_text": F.col("hit.tgt_text"), "tm_id": F.col("hit.id")}).drop("_key", "hit")
+    none = F.lit("")
+    asks = [(none if x is None else F.coalesce(x, none)) for x in (context, domain)]
+    stored = [F.col(c) if c in memory.columns else none for c in ("context_hash", "domain")]
+    rows = memory.filter(~echoes(F.col("provenance"), F.col("src_text"), F.col("tgt_text")))
+    rows = rows.select(tx.tm_hash(F.col("src_text")).alias("_key"), "id", "tgt_text", F.explode(_slots(*stored, F.col("provenance") == "human_pe")).alias("s"))
+    best = rows.groupBy("_key", "s.slot", "s.c", "s.d").agg(F.max_by(F.struct("id", "tgt_text"), "id").alias("hit"))
+    keyed = blocks.withColumns({"_key": tx.tm_hash(F.col(text_col)), "_c": asks[0], "_d": asks[1]})
+    asked = keyed.select("_key", "_c", "_d").distinct().withColumn("s", F.explode(_slots(F.col("_c"), F.col("_d")))).select("*", "s.*").drop("s")
+    found = asked.join(best, ["_key", "slot", "c", "d"]).groupBy("_key", "_c", "_d").agg(F.min_by("hit", "slot").alias("hit"))
+    out = keyed.join(found, ["_key", "_c", "_d"], "left")
+    return out.withColumns({"tm_text": F.col("hit.tgt_text"), "tm_id": F.col("hit.id")}).drop("_key", "_c", "_d", "hit")
 
 
 def shingles(text: Column, n: int = 3) -> Column:

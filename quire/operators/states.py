@@ -14,7 +14,7 @@ EDGES = {
     "repaired": ("mtqe_passed", "repair_pending", "needs_human", "blocked_human", "failed"),
     "needs_human": ("mtqe_passed", "repaired", "repair_pending", "blocked_human", "failed"),
     "blocked_human": ("mtqe_passed", "repaired", "needs_human", "failed"),
-    "failed": ("pending", "repair_pending"),
+    "failed": ("needs_human", "blocked_human", "repaired", "mtqe_passed"),
 }
 TERMINAL = ("mtqe_passed", "repaired", "failed", "needs_human", "blocked_human")
 

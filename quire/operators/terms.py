@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 # Scope levels from the narrowest, and what counts as an acronym pair.
 SCOPES = ("block", "section", "chapter", "domain", "global")
 ACRONYM = r"([A-Za-z][A-Za-z -]{3,60}?)\s*\(([A-Z]{2,8})\)"
-#: Terms that may go to all tasks: a glossary is curated, but a larger one is joined by word instead.
-BROADCAST_TERMS = 50_000
 
 
 CJK = "[㐀-鿿぀-ヿ가-힯]"
@@ -42,11 +40,13 @@ def containment(blocks: DataFrame, glossary: DataFrame, text: str = "source_text
     """(keys, source, n): terms that stand in blocks, and how often.
 
     Terms meet blocks on their first word, CJK ones on their first characters, an equi-join over what blocks have of
-    those; only such pairs are searched.
+    those, without their texts; only such pairs are searched. keys name a block.
     """
-    words = blocks.select(*keys, text, F.explode(block_words(F.col(text))).alias("_first"))
-    pairs = words.join(first_words(glossary, source).filter(F.col(source) != "").select(source, "_first"), "_first")
-    return pairs.withColumn("n", occurrences(F.col(text), F.col(source))).filter("n > 0").select(*keys, source, "n")
+    heads = first_words(glossary, source).filter(F.col(source) != "").select(source, "_first")
+    words = blocks.select(*keys, F.explode(block_words(F.col(text))).alias("_first"))
+    pairs = words.join(heads, "_first").select(*keys, source)
+    rows = blocks.select(*keys, text).join(pairs, list(keys))  # texts move once, for the blocks that may have a term
+    return rows.withColumn("n", occurrences(F.col(text), F.col(source))).filter("n > 0").select(*keys, source, "n")
 
 
 def term_metrics(hits: DataFrame) -> DataFrame:
@@ -56,11 +56,11 @@ def term_metrics(hits: DataFrame) -> DataFrame:
 
 
 def drift_summary(hits: DataFrame, most: int = 50) -> DataFrame:
-    """By term: occurrences, exact ones, drift rate and the first `most` blocks that drifted. Block lists are cut by rank before they are collected."""
+    """Of terms that drifted: occurrences, exact ones, drift rate and the first `most` blocks that drifted, worst first. Block lists are cut by rank before they are collected."""
     rate = hits.groupBy("source").agg(F.count(F.lit(1)).alias("occ"), F.count_if("exact").alias("exact")).withColumn("drift_rate", 1 - F.col("exact") / F.col("occ"))
     nth = F.row_number().over(Window.partitionBy("source").orderBy("block_id"))
     drifted = hits.filter(~F.col("exact")).withColumn("_n", nth).filter(F.col("_n") <= most)
-    return rate.join(drifted.groupBy("source").agg(F.sort_array(F.collect_list("block_id")).alias("blocks")), "source", "left")
+    return rate.join(drifted.groupBy("source").agg(F.sort_array(F.collect_list("block_id")).alias("blocks")), "source").orderBy(F.col("drift_rate").desc(), F.col("occ").desc(), "source")
 
 
 def conflicts(glossary: DataFrame, key: Column | None = None, translation: str = "translation") -> DataFrame:

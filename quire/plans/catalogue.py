@@ -98,29 +98,40 @@ def blocks_from_documents(spark, at):
     return doc_blocks(spark, at).select("doc_id", "spine_index", "block_id", "source_text")
 
 
-@query(rf"""WITH {LINES}, t AS (SELECT lang, source_text s,
-  regexp_full_match(source_text, '\s*([0-9]{{1,4}}|[ivxlcdmIVXLCDM]{{1,7}})\s*') AS page_number, regexp_matches(source_text, '^#{{1,6}}\s+') AS md_heading,
-  regexp_matches(source_text, '^\s*([-*+]|[0-9]{{1,9}}[.)])\s+') AS list_item, regexp_matches(source_text, '^[•\-*·–]') AS bullet,
-  length(source_text) < 80 AND NOT regexp_matches(source_text, '[.!?。]$') AND NOT regexp_matches(source_text, '^[•\-*·–]') AS heading, lower(source_text) LIKE '[illustration%' AS gutenberg FROM b)
-SELECT lang, count(*) FILTER (WHERE page_number) AS page_numbers, count(*) FILTER (WHERE md_heading) AS md_headings, count(*) FILTER (WHERE list_item) AS list_items, count(*) FILTER (WHERE bullet) AS bullets, count(*) FILTER (WHERE heading) AS headings, count(*) FILTER (WHERE gutenberg) AS gutenberg FROM t GROUP BY lang""")
+#: Lines of every kind, and which of the tests below they pass: page number, Markdown heading, list item, bullet, heading, archive marker.
+_KINDS = [
+    ("17", 1, 0, 0, 0, 1, 0), ("xiv", 1, 0, 0, 0, 1, 0), ("12345", 0, 0, 0, 0, 1, 0), ("## Part two", 0, 1, 0, 0, 1, 0), ("####### seven", 0, 0, 0, 0, 1, 0), ("- item", 0, 0, 1, 1, 0, 0), ("12) item", 0, 0, 1, 0, 1, 0),
+    ("• point", 0, 0, 0, 1, 0, 0), ("A title", 0, 0, 0, 0, 1, 0), ("A sentence.", 0, 0, 0, 0, 0, 0), ("[Illustration: a map]", 0, 0, 0, 0, 1, 1), ("[illustrated]", 0, 0, 0, 0, 1, 0), ("word " * 20, 0, 0, 0, 0, 0, 0),
+]
+_KIND_NAMES = ("page_numbers", "md_headings", "list_items", "bullets", "headings", "gutenberg")
+
+
+@query(f"""WITH k(i, {", ".join(_KIND_NAMES)}) AS (VALUES {", ".join(f"({i}, {', '.join(map(str, k[1:]))})" for i, k in enumerate(_KINDS))})
+SELECT event_type, {", ".join(f"sum({n})::BIGINT AS {n}" for n in _KIND_NAMES)} FROM events JOIN k ON event_id % {len(_KINDS)} = i GROUP BY event_type""")
 def line_kinds(spark, at):
-    s = F.col("source_text")
-    tests = {
-        "page_numbers": tx.is_bare_page_number(s), "md_headings": tx.markdown_heading(s)["level"] > 0, "list_items": tx.markdown_list_item(s)["marker"] != "",
-        "bullets": tx.is_list_prefix(s), "headings": tx.looks_like_heading(s), "gutenberg": tx.is_gutenberg_marker(s),
-    }
-    return doc_blocks(spark, at).groupBy("lang").agg(*[F.count_if(c).alias(n) for n, c in tests.items()])
-
-
-@query(rf"""WITH {LINES}, w AS (SELECT *, list_filter(regexp_split_to_array(source_text, '\s+'), lambda x: x <> '') AS ws FROM b),
-v AS (SELECT lang, source_text, CASE WHEN NOT regexp_matches(source_text, '[\p{{L}}\p{{N}}_]') THEN 'verdict:placeholder'
-  WHEN regexp_matches(source_text, '(?i)^(https?://\S+|doi:\s*\S+)$') OR regexp_matches(regexp_replace(source_text, '[- ]', '', 'g'), '^(97[89])?[0-9]{{9}}[0-9xX]$') THEN 'verdict:identifier_only'
-  WHEN len(list_filter(ws, lambda x: regexp_matches(x, '^[0-9a-fA-F]{{2,}}$'))) >= 32 AND len(list_filter(ws, lambda x: regexp_matches(x, '^[0-9a-fA-F]{{2,}}$'))) >= len(ws) * 0.55 THEN 'verdict:hexdump'
-  ELSE 'verdict:translate' END AS verdict FROM w)
-SELECT lang, verdict, count(*) AS n, sum(length(source_text))::BIGINT AS chars FROM v GROUP BY lang, verdict""")
+    s = F.col("s")
+    tests = (tx.is_bare_page_number(s), tx.markdown_heading(s)["level"] > 0, tx.markdown_list_item(s)["marker"] != "", tx.is_list_prefix(s), tx.looks_like_heading(s), tx.is_gutenberg_marker(s))
+    line = F.element_at(F.array(*[F.lit(k[0].strip()) for k in _KINDS]), (F.col("event_id") % len(_KINDS) + 1).cast("int"))
+    rows = table(spark, at, "events").select("event_type", line.alias("s"))
+    return rows.groupBy("event_type").agg(*[F.count_if(c).alias(n) for n, c in zip(_KIND_NAMES, tests, strict=True)])
+
+
+#: Blocks that are kept, by their verdict; lines of documents stand between them.
+_KEPT = [
+    ("— … 。", "placeholder"), ("https://example.org/a?b=1", "identifier_only"), ("doi: 10.1000/182", "identifier_only"), ("978-0-306-40615-7", "identifier_only"), ("0306406152", "identifier_only"), ("0a 1B " * 20, "hexdump"),
+    ("0a 1b " * 15, "translate"), ("0a 1B " * 20 + "word or " * 20, "translate"), ("\n".join(f"term{k}" for k in range(12)), "index_list"), ("\n".join(["Ünze"] * 11 + ["two words"]), "index_list"), ("\n".join(["term"] * 11), "translate"), ("  ", "empty"),
+]
+
+
+@query(rf"""WITH {LINES}, k(i, t, verdict) AS (VALUES {", ".join("(%d, '%s', 'verdict:%s')" % (i, t, v) for i, (t, v) in enumerate(_KEPT))}), m AS (SELECT lang, (spine_index + doc_id) % {2 * len(_KEPT)} AS i, source_text FROM b),
+v AS (SELECT lang, coalesce(t, source_text) AS t, coalesce(verdict, CASE WHEN regexp_matches(source_text, '[\p{{L}}\p{{N}}_]') THEN 'verdict:translate' ELSE 'verdict:placeholder' END) AS verdict FROM m LEFT JOIN k USING (i))
+SELECT lang, verdict, count(*) AS n, sum(length(t))::BIGINT AS chars FROM v GROUP BY lang, verdict""")
 def block_verdict(spark, at):
-    rows = doc_blocks(spark, at).select("lang", "source_text", tx.verdict(F.col("source_text")).alias("verdict"))
-    return rows.groupBy("lang", "verdict").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("source_text")).alias("chars"))
+    """Lines of documents, every other one replaced by a block that some rule keeps, or nearly keeps."""
+    i = (F.col("spine_index") + F.col("doc_id")) % (2 * len(_KEPT))
+    text = F.when(i < len(_KEPT), F.element_at(F.array(*[F.lit(t) for t, _ in _KEPT]), (i % len(_KEPT) + 1).cast("int"))).otherwise(F.col("source_text"))
+    rows = doc_blocks(spark, at).select("lang", text.alias("t")).select("lang", "t", tx.verdict(F.col("t")).alias("verdict"))
+    return rows.groupBy("lang", "verdict").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t")).alias("chars"))
 
 
 _COUNT = lambda p: f"len(regexp_extract_all(t, '{p}'))"
@@ -139,10 +150,17 @@ def token_estimate(spark, at):
     return table(spark, at, "documents").select("doc_id", script.token_count(F.col("text")).alias("tokens"))
 
 
-@query("WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS (SELECT doc_id, " + " + ".join(_COUNT(p.replace("'", "''")) for p in script.MATH) + """ AS hits, length(t) AS n FROM d)
+#: What is added to texts, by their id, so that every density occurs.
+_MATHS = ["", " Set x = 5 and y_2.", " a_1 ∑" * 9, r" \frac{1}{2} of 3 cm 2 and Theorem 4.1", " Δ" * 40, " 1 - 10 15"]
+
+
+@query("WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN left(coalesce(text, ''), 300) ELSE coalesce(text, '') END || [" + ", ".join(f"'{m}'" for m in _MATHS) + f"][doc_id % {len(_MATHS)} + 1] AS x FROM documents), u AS (SELECT doc_id, length(x) AS n, regexp_replace(x, '[À-ɏ]', '__', 'g') AS t FROM d), h AS (SELECT doc_id, " + " + ".join(_COUNT(f"(?i){p}") for p in script.MATH) + """ AS hits, n FROM u)
 SELECT doc_id, CASE WHEN hits * 1000.0 / greatest(n, 1) >= 2 OR (hits >= 6 AND hits * 1000.0 / greatest(n, 1) >= 0.5) THEN 'high' WHEN hits * 1000.0 / greatest(n, 1) >= 0.5 OR hits >= 2 THEN 'low' ELSE 'none' END AS density FROM h""")
 def math_density(spark, at):
-    return table(spark, at, "documents").select("doc_id", script.math_density(F.coalesce("text", F.lit(""))).alias("density"))
+    """Texts, every fifth one's opening, with mathematics added."""
+    text = F.coalesce("text", F.lit(""))
+    added = F.element_at(F.array(*[F.lit(m) for m in _MATHS]), (F.col("doc_id") % len(_MATHS) + 1).cast("int"))
+    return table(spark, at, "documents").select("doc_id", script.math_density(F.concat(F.when(F.col("doc_id") % 5 == 0, F.left(text, F.lit(300))).otherwise(text), added)).alias("density"))
 
 
 @query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, {_COUNT('https?://[^ )>]+')}::INT AS urls, {_COUNT('[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+')}::INT AS emails, {_COUNT('[0-9]+([.,][0-9]+)*')}::INT AS numbers FROM d""")
@@ -196,19 +214,30 @@ def exact_duplicates(spark, at):
     return rows.groupBy("src_hash").agg(F.count(F.lit(1)).alias("copies"), F.countDistinct("doc_id").alias("docs")).filter("copies > 1")
 
 
-_MEMORY = "m AS (SELECT item_id AS id, unnest(string_split(text, chr(10))) AS src_text FROM benchmark), mm AS (SELECT id, src_text, upper(src_text) AS tgt_text FROM m WHERE src_text <> '')"
+_MEMORY = """m AS (SELECT item_id, unnest(string_split(text, chr(10))) AS src_text FROM benchmark UNION ALL SELECT doc_id + 1000000, unnest(string_split(text, chr(10))) FROM documents), v(k) AS (VALUES (0), (1), (2), (3), (4)),
+mm AS (SELECT item_id * 10 + k AS id, src_text, CASE WHEN k = 4 THEN upper(left(src_text, 1)) || substr(src_text, 2) ELSE '→ ' || src_text END AS tgt_text, CASE WHEN k = 0 AND item_id % 3 = 0 THEN 'human_pe' ELSE 'machine' END AS provenance,
+  ['', 'c1', 'c2', 'c9', ''][k + 1] AS context_hash, CASE WHEN k = 3 OR item_id % 4 = 0 THEN 'law' ELSE 'tech' END AS domain FROM m, v WHERE src_text <> '' AND (k <> 0 OR item_id % 3 < 2))"""
 
 
 def tm(spark, at):
-    """The benchmark's lines as a memory whose translations are in capitals; every third is human."""
-    lines = table(spark, at, "benchmark").select(F.col("item_id").alias("id"), F.explode(F.split("text", "\n")).alias("src_text")).filter("src_text <> ''")
-    return lines.withColumns({"tgt_text": F.upper("src_text"), "provenance": F.when(F.col("id") % 3 == 0, "human_pe").otherwise("machine")})
+    """The lines of benchmark and documents as a memory: of each five rows in several contexts and domains, one of which only carries the line over."""
+    lines = table(spark, at, "benchmark").select("item_id", "text").unionAll(table(spark, at, "documents").select(F.col("doc_id") + 1000000, "text"))
+    lines = lines.select("item_id", F.explode(F.split("text", "\n")).alias("src_text")).filter("src_text <> ''")
+    rows = lines.select("item_id", "src_text", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).filter("k <> 0 or item_id % 3 < 2")
+    return rows.selectExpr(
+        "item_id * 10 + k AS id", "src_text", "CASE WHEN k = 4 THEN concat(upper(left(src_text, 1)), substr(src_text, 2)) ELSE concat('→ ', src_text) END AS tgt_text",
+        "CASE WHEN k = 0 AND item_id % 3 = 0 THEN 'human_pe' ELSE 'machine' END AS provenance", "array('', 'c1', 'c2', 'c9', '')[k] AS context_hash", "CASE WHEN k = 3 OR item_id % 4 = 0 THEN 'law' ELSE 'tech' END AS domain",
+    )
 
 
-@query(rf"""WITH {LINES}, {_MEMORY}, r AS (SELECT regexp_replace(src_text, '\s+', ' ', 'g') AS k, id, row_number() OVER (PARTITION BY regexp_replace(src_text, '\s+', ' ', 'g') ORDER BY (id % 3 <> 0), id) AS n FROM mm WHERE src_text <> tgt_text)
-SELECT b.block_id, r.id AS tm_id FROM b JOIN r ON regexp_replace(b.source_text, '\s+', ' ', 'g') = r.k AND r.n = 1""")
+@query(rf"""WITH {LINES}, {_MEMORY}, q AS (SELECT block_id, regexp_replace(source_text, '\s+', ' ', 'g') AS k, ['c1', 'c2', ''][doc_id % 3 + 1] AS c, CASE WHEN doc_id % 2 = 0 THEN 'law' END AS d FROM b),
+r AS (SELECT block_id, mm.id, row_number() OVER (PARTITION BY block_id ORDER BY provenance = 'human_pe' DESC, context_hash = c DESC, coalesce(domain = d, false) DESC, mm.id DESC) AS n FROM q JOIN mm ON regexp_replace(src_text, '\s+', ' ', 'g') = k
+  WHERE CASE WHEN provenance = 'human_pe' THEN src_text <> tgt_text ELSE lower(src_text) <> lower(tgt_text) END AND (provenance = 'human_pe' OR context_hash = c OR context_hash = '' OR coalesce(domain = d, false)))
+SELECT block_id, id AS tm_id FROM r WHERE n = 1""")
 def tm_exact_hits(spark, at):
-    return memory.lookup_exact(doc_blocks(spark, at), tm(spark, at)).filter("tm_id is not null").select("block_id", "tm_id")
+    """Blocks by document in three contexts, every other one in a domain."""
+    context, domain = F.element_at(F.array(F.lit("c1"), F.lit("c2"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int")), F.when(F.col("doc_id") % 2 == 0, "law")
+    return memory.lookup_exact(doc_blocks(spark, at), tm(spark, at), context=context, domain=domain).filter("tm_id is not null").select("block_id", "tm_id")
 
 
 _GRAMS = "list_distinct(list_transform(range(1, greatest(length(f) - 2, 1) + 1), lambda k: substr(f, k, 3)))"
@@ -244,7 +273,9 @@ def boilerplate_lines(spark, at):
     return order.boilerplate(doc_blocks(spark, at), "source", share=0.05)
 
 
-_HITS = rf"""{LINES}, {GLOSSARY_SQL}, h AS (SELECT block_id, doc_id, spine_index, source_text, g.source AS term, translation, len(regexp_extract_all(' ' || regexp_replace(source_text, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') || ' ', '(?i)[^\p{{L}}\p{{N}}_]' || g.source || '[^\p{{L}}\p{{N}}_]')) AS n FROM b, g)"""
+#: The glossary's terms are single words here, so the words of lines are counted once and joined with them.
+_HITS = rf"""{LINES}, {GLOSSARY_SQL}, w AS (SELECT block_id, spine_index, unnest(regexp_extract_all(lower(source_text), '[\p{{L}}\p{{N}}_]+')) AS w FROM b), c AS (SELECT block_id, spine_index, w, count(*) AS n FROM w GROUP BY ALL),
+h AS (SELECT DISTINCT block_id, spine_index, g.source AS term, n FROM c JOIN g ON c.w = lower(g.source))"""
 
 
 @query(f"WITH {_HITS} SELECT DISTINCT block_id, term AS source, n::INT AS n FROM h WHERE n > 0")
@@ -252,7 +283,7 @@ def glossary_containment(spark, at):
     return terms.containment(doc_blocks(spark, at), glossary(spark).select("source").distinct(), keys=("block_id",))
 
 
-@query(f"WITH {_HITS}, e AS (SELECT DISTINCT block_id, term, n, spine_index % 2 = 0 AS exact FROM h WHERE n > 0) SELECT term AS source, count(*) AS occ, count(*) FILTER (WHERE exact) AS exact, 1 - count(*) FILTER (WHERE exact) / count(*)::DOUBLE AS drift_rate FROM e GROUP BY term")
+@query(f"WITH {_HITS}, e AS (SELECT DISTINCT block_id, term, n, spine_index % 2 = 0 AS exact FROM h WHERE n > 0) SELECT term AS source, count(*) AS occ, count(*) FILTER (WHERE exact) AS exact, 1 - count(*) FILTER (WHERE exact) / count(*)::DOUBLE AS drift_rate FROM e GROUP BY term HAVING NOT bool_and(exact)")
 def drift_summary(spark, at):
     hits = terms.containment(doc_blocks(spark, at), glossary(spark).select("source").distinct(), keys=("block_id", "spine_index")).withColumn("exact", F.col("spine_index") % 2 == 0)
     return terms.drift_summary(hits).drop("blocks")
@@ -333,14 +364,27 @@ def price_cost(spark, at):
     return stats.usage_cost(usage, spark.createDataFrame(PRICES, "model_prefix string, input double, output double, cached_input double"), "user_id")
 
 
-@query(rf"""WITH {LINES}, c AS (SELECT source_text, CASE WHEN {_HEADING} THEN 0.2 ELSE 0.3 END AS base, {_HEADING} AS head, length(source_text) AS n, len(regexp_extract_all(source_text, '[0-9]+')) AS a, len(regexp_extract_all(source_text, '[,;:]')) AS p FROM b),
-v AS (SELECT least(greatest(CASE WHEN NOT head AND n < 40 THEN 0.4 ELSE 1 END * (base + least(a * 0.02, 0.15) + least(p * 0.01, 0.15) + least(n / 1000.0 * 0.1, 0.2)), 0), 1)::DOUBLE AS s FROM c)
-SELECT CASE WHEN s < 0.15 THEN 'trivial' WHEN s < 0.55 THEN 'standard' WHEN s < 0.8 THEN 'complex' ELSE 'flagship' END AS tier, count(*) AS n FROM v GROUP BY 1""")
+#: Blocks by number: type, what is added to the line, and its display and inline formulas and macros.
+_HARD = [
+    ("heading", "", 0, 0, 0), ("narrative", "", 0, 0, 0), ("table", " $a$ and $b$", 0, 2, 0), ("formula", r" \frac \sum \alpha", 0, 0, 3), ("code", " def f(x): return {}; y = x != 2", 0, 0, 0),
+    ("list_item", r" $$x$$ \[y\]", 2, 1, 0), ("paragraph", " class if else for (a) (b) (c) -> => :: {} [] ; ; ; ;", 0, 0, 0),
+]
+
+
+@query(rf"""WITH {LINES}, k(i, kind, added, display, inline_, macros) AS (VALUES {", ".join(f"({i}, '{k}', '{a}', {d}, {n}, {m})" for i, (k, a, d, n, m) in enumerate(_HARD))}),
+t AS (SELECT kind, display, inline_, macros, replace(CASE WHEN spine_index % 2 = 0 THEN left(source_text, 30) ELSE source_text END, '$', '') || added AS t FROM b JOIN k ON (spine_index + doc_id) % {len(_HARD)} = i),
+f AS (SELECT *, least(len(regexp_extract_all(t, '{script.CODE_WORDS}')) * 0.08 + len(regexp_extract_all(t, '{script.CODE_SIGNS}')) * 0.03, 1.0)::DOUBLE AS syntax FROM t),
+s AS (SELECT kind, t, display, inline_, CASE kind WHEN 'heading' THEN 0.05 WHEN 'table' THEN 0.5 WHEN 'code' THEN 0.65 WHEN 'formula' THEN 0.85 ELSE 0.2 END::DOUBLE + least(display * 0.2, 0.35) + least(inline_ * 0.08, 0.25) + least(macros * 0.03, 0.2)
+  + CASE WHEN kind = 'code' OR syntax >= 0.35 THEN least(syntax * 0.35, 0.3) ELSE 0 END + least((length(t) - length(replace(t, ';', ''))) * 0.04 + (length(t) - length(replace(t, '(', ''))) * 0.02, 0.2) + CASE WHEN len(regexp_extract_all(t, '\S+')) > 35 THEN 0.05 ELSE 0 END AS s FROM f),
+v AS (SELECT kind, round(least(CASE WHEN length(trim(t)) < 45 AND display + inline_ = 0 AND kind = 'narrative' THEN greatest(0.05, s * 0.4) ELSE s END, 1), 4) AS s FROM s)
+SELECT kind, CASE WHEN s < 0.15 THEN 'trivial' WHEN s < 0.55 THEN 'standard' WHEN s < 0.8 THEN 'complex' ELSE 'extreme' END AS tier, count(*) AS n FROM v GROUP BY ALL""")
 def routing_tiers(spark, at):
-    s = F.col("source_text")
-    kind = F.when(tx.looks_like_heading(s), "heading").otherwise("paragraph")
-    rows = doc_blocks(spark, at).select(script.complexity_tier(script.complexity(s, kind)).alias("tier"))
-    return rows.groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+    """Lines as blocks of every type, every other one short, with mathematics and code added."""
+    i = ((F.col("spine_index") + F.col("doc_id")) % len(_HARD) + 1).cast("int")
+    pick = lambda k: F.element_at(F.array(*[F.lit(h[k]) for h in _HARD]), i)
+    text = F.concat(F.replace(F.when(F.col("spine_index") % 2 == 0, F.left("source_text", F.lit(30))).otherwise(F.col("source_text")), F.lit("$"), F.lit("")), pick(1))
+    rows = doc_blocks(spark, at).select(pick(0).alias("kind"), text.alias("t")).select("kind", script.complexity_tier(script.complexity(F.col("t"), F.col("kind"))).alias("tier"))
+    return rows.groupBy("kind", "tier").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {JOBS}, r AS (SELECT tenant_id, count(*) AS run FROM j WHERE status = 'running' GROUP BY 1),
@@ -416,9 +460,15 @@ def fast_pass(spark, at):
     return rows.select("block_id", reason.alias("reason"), gates.band(reason).alias("score"))
 
 
-@query(f"WITH {LINES} SELECT lang, sum(len(regexp_extract_all(source_text, '[\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{9FFF}}\\x{{AC00}}-\\x{{D7AF}}]')))::BIGINT AS residue FROM b GROUP BY lang")
+@query(f"""WITH {LINES}, t AS (SELECT ['zh', 'ko', 'en'][doc_id % 3 + 1] AS target, source_text || CASE WHEN spine_index % 4 = 0 THEN 'ひカ한' ELSE '' END || CASE WHEN spine_index % 5 = 0 THEN '文字Жع' ELSE '' END AS t FROM b)
+SELECT target, sum(len(regexp_extract_all(t, CASE target WHEN 'zh' THEN '[\\x{{3040}}-\\x{{30FF}}\\x{{AC00}}-\\x{{D7AF}}\\x{{0400}}-\\x{{04FF}}\\x{{0600}}-\\x{{06FF}}]' WHEN 'ko' THEN '[\\x{{3040}}-\\x{{30FF}}\\x{{0400}}-\\x{{04FF}}\\x{{0600}}-\\x{{06FF}}]' ELSE '[\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{9FFF}}\\x{{AC00}}-\\x{{D7AF}}]' END)))::BIGINT AS residue, count(*) AS n FROM t GROUP BY target""")
 def cross_script_residue(spark, at):
-    return doc_blocks(spark, at).groupBy("lang").agg(F.sum(gates.foreign_script(F.col("source_text"), F.col("lang"))).alias("residue"))
+    """Lines as translations into three languages, with letters of other scripts added."""
+    b = doc_blocks(spark, at)
+    added = F.concat(F.when(F.col("spine_index") % 4 == 0, "ひカ한").otherwise(""), F.when(F.col("spine_index") % 5 == 0, "文字Жع").otherwise(""))
+    target = F.element_at(F.array(F.lit("zh"), F.lit("ko"), F.lit("en")), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = b.select(target.alias("target"), F.concat("source_text", added).alias("t"))
+    return rows.groupBy("target").agg(F.sum(gates.foreign_script(F.col("t"), F.col("target"))).alias("residue"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, text, lag(text) OVER w AS before, lead(text) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, role, coalesce(right(before, 100), '') AS before, coalesce(left(after, 100), '') AS after FROM t""")
@@ -449,14 +499,27 @@ def section_chunks(spark, at):
     return order.chunks(rows).select("block_id", "chunk")
 
 
-@query()
+@query(f"""WITH {LINES}, g AS (SELECT doc_id, spine_index, CASE WHEN spine_index % 12 = 6 THEN 999999 ELSE spine_index END AS v FROM b WHERE spine_index % 3 = 0),
+k AS (SELECT *, v < 999999 OR spine_index = max(spine_index) OVER (PARTITION BY doc_id) AS keep, count(*) OVER (PARTITION BY doc_id) AS n FROM g), c AS (SELECT *, count(*) FILTER (WHERE keep) OVER (PARTITION BY doc_id) AS m FROM k)
+SELECT doc_id, spine_index FROM c WHERE keep AND m >= 4 AND m * 2 >= n""")
 def page_number_lines(spark, at):
-    return order.page_number_lines(doc_blocks(spark, at))
+    """Lines of documents, every third a number in order, some of those out of it."""
+    i = F.col("spine_index")
+    text = F.when(i % 12 == 6, "999999").when(i % 3 == 0, i.cast("string")).otherwise(F.concat(F.lit("t "), "source_text"))
+    return order.page_number_lines(doc_blocks(spark, at).withColumn("source_text", text))
 
 
-@query()
+_LETTERS = "chr((65 + p_partkey % 26)::INT) AS a, chr((65 + p_partkey // 26 % 26)::INT) AS b, chr((65 + p_partkey // 676 % 26)::INT) AS c"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_LETTERS} FROM part), x AS (SELECT a || b || c AS acronym, a || 'pple ' || b || 'erry ' || c || 'hip' AS expansion FROM p WHERE p_partkey % 5 <> 0) SELECT DISTINCT acronym, expansion FROM x""")
 def abbreviations(spark, at):
-    return terms.abbreviations(doc_blocks(spark, at))
+    """Parts as lines with a long name and its letters in brackets, every fifth with letters that do not fit."""
+    letter = lambda div: F.char(65 + F.floor(F.col("p_partkey") / div) % 26)
+    p = table(spark, at, "part").select("p_partkey", letter(1).alias("a"), letter(26).alias("b"), letter(676).alias("c"))
+    acronym = F.when(F.col("p_partkey") % 5 == 0, F.lit("QQQQ")).otherwise(F.concat("a", "b", "c"))
+    text = F.concat(F.lit("See the "), "a", F.lit("pple "), "b", F.lit("erry "), "c", F.lit("hip ("), acronym, F.lit(") for more."))
+    return terms.abbreviations(p.select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("spine_index"), text.alias("source_text")))
 
 
 @query()
@@ -485,34 +548,39 @@ def html_sanitize(spark, at):
     return table(spark, at, "pages").select("page_id", F.length(sanitized(F.col("html"))).cast("long").alias("n"))
 
 
-_BOX = """x AS (SELECT l_orderkey % 97 AS page, (l_partkey % 20)::VARCHAR AS t, l_orderkey AS block_id, (l_partkey % 50)::DOUBLE AS x0, (l_suppkey % 50)::DOUBLE AS y0, (l_partkey % 50 + l_quantity)::DOUBLE AS x1, (l_suppkey % 50 + l_quantity)::DOUBLE AS y1 FROM lineitem WHERE l_linenumber = 1)"""
+_BOX = """x AS (SELECT l_orderkey // 64 AS page, (l_partkey % 20)::VARCHAR AS t, l_orderkey AS block_id, (l_partkey % 50)::DOUBLE AS x0, (l_suppkey % 50)::DOUBLE AS y0, (l_partkey % 50 + l_quantity)::DOUBLE AS x1, (l_suppkey % 50 + l_quantity)::DOUBLE AS y1 FROM lineitem)"""
 
 
 def boxes(spark, at):
-    """First lines of orders as boxes on pages."""
+    """Lines of orders as boxes, on pages of 64 orders each."""
     box = "named_struct('x0', double(l_partkey % 50), 'y0', double(l_suppkey % 50), 'x1', double(l_partkey % 50 + l_quantity), 'y1', double(l_suppkey % 50 + l_quantity)) AS bbox"
-    return table(spark, at, "lineitem").filter("l_linenumber = 1").selectExpr("l_orderkey % 97 AS page", "l_orderkey AS block_id", "string(l_partkey % 20) AS text", box)
+    return table(spark, at, "lineitem").selectExpr("l_orderkey div 64 AS page", "l_orderkey AS block_id", "string(l_partkey % 20) AS text", box)
 
 
-@query(f"""WITH {_BOX}, n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY block_id) AS r FROM x WHERE (x1 - x0) * (y1 - y0) >= 1), s AS (SELECT * FROM n WHERE r <= 200),
+@query(f"""WITH {_BOX}, n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY block_id, x0, y0, x1, y1) AS r FROM x WHERE (x1 - x0) * (y1 - y0) >= 1), s AS (SELECT * FROM n),
 p AS (SELECT a.page, a.block_id AS a, b.block_id AS b, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS u FROM s a JOIN s b ON a.page = b.page AND a.r < b.r)
 SELECT page, a, b, i / (u - i) AS iou FROM p WHERE i / (u - i) >= 0.6""")
 def block_overlaps(spark, at):
     return geometry.overlaps(boxes(spark, at))
 
 
-@query(f"""WITH {_BOX}, n AS (SELECT *, row_number() OVER w AS r, first_value(x0) OVER w AS kx0, first_value(y0) OVER w AS ky0, first_value(x1) OVER w AS kx1, first_value(y1) OVER w AS ky1 FROM x WINDOW w AS (PARTITION BY page, t ORDER BY (x1 - x0) * (y1 - y0) DESC, block_id)),
+@query(f"""WITH {_BOX}, n AS (SELECT *, row_number() OVER w AS r, first_value(x0) OVER w AS kx0, first_value(y0) OVER w AS ky0, first_value(x1) OVER w AS kx1, first_value(y1) OVER w AS ky1 FROM x WINDOW w AS (PARTITION BY page, t ORDER BY (x1 - x0) * (y1 - y0) DESC, block_id, x0, y0, x1, y1)),
 i AS (SELECT *, greatest(least(x1, kx1) - greatest(x0, kx0), 0) * greatest(least(y1, ky1) - greatest(y0, ky0), 0) AS i, (x1 - x0) * (y1 - y0) + (kx1 - kx0) * (ky1 - ky0) AS u FROM n)
 SELECT block_id FROM i WHERE r = 1 OR coalesce(i / nullif(u - i, 0), 0) < 0.6""")
 def duplicate_boxes(spark, at):
     return geometry.drop_duplicate_boxes(boxes(spark, at)).select("block_id")
 
 
-@query("""WITH u AS (SELECT event_id AS id, ['pending','drafted','mtqe_passed','repair_pending','repaired','failed','needs_human','blocked_human'][event_id % 8 + 1] AS o, ['pending','drafted','mtqe_passed','repair_pending','repaired','failed','needs_human','blocked_human'][event_id * 3 % 8 + 1] AS n FROM events),
-e(a, b) AS (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, to in states.EDGES.items() for b in to) + ") SELECT id AS block_id, CASE WHEN o = n OR EXISTS (SELECT 1 FROM e WHERE a = o AND b = n) THEN n ELSE o END AS status FROM u")
+_STATES = "['pending','drafted','mtqe_passed','repair_pending','repaired','failed','needs_human','blocked_human']"
+
+
+@query(f"""WITH u AS (SELECT event_id AS id, {_STATES}[event_id % 8 + 1] AS o, {_STATES}[(event_id // 8) % 8 + 1] AS n FROM events)
+SELECT id AS block_id, CASE WHEN CASE n WHEN 'pending' THEN false WHEN 'drafted' THEN o = 'pending' WHEN 'mtqe_passed' THEN true WHEN 'failed' THEN true
+  WHEN 'repair_pending' THEN o NOT IN ('failed', 'blocked_human') WHEN 'repaired' THEN o NOT IN ('pending', 'drafted') ELSE o <> 'pending' END THEN n ELSE o END AS status FROM u""")
 def checkpoint_merge(spark, at):
+    states_ = _STATES.replace("[", "array(").replace("]", ")")
     rows = ledger(spark, at).select(F.lit(1).alias("job_id"), F.col("event_id").alias("block_id"), "status")
-    news = ledger(spark, at).select(F.lit(1).alias("job_id"), F.col("event_id").alias("block_id"), F.expr("array('pending','drafted','mtqe_passed','repair_pending','repaired','failed','needs_human','blocked_human')[int(event_id * 3 % 8)]").alias("status"))
+    news = ledger(spark, at).select(F.lit(1).alias("job_id"), F.col("event_id").alias("block_id"), F.expr(f"{states_}[int(event_id div 8 % 8)]").alias("status"))
     return states.merge_checkpoints(rows, news).select("block_id", "status")
 
 
