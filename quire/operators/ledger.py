@@ -173,6 +173,8 @@ def differing_keys(prior: Column, requested: Column, ignored: tuple[str, ...] =
 
 
 def step_key(kind: Column, inputs: Column, params: Column) -> Column:
-    """The content address of a step: SHA-256 over its kind and its sorted inputs and parameters as JSON."""
-    ordered = lambda m: F.map_from_entries(F.array_sort(F.map_entries(m)))
-    return F.sha2(F.to_json(F.struct(ordered(inputs).alias("inputs"), kind.alias("kind"), ordered(params).alias("params"))), 256)
+    """The content address of a step: SHA-256 of its inputs in order, kind and parameters (a map of strings) as JSON with sorted keys."""
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    listed = F.array_join(F.transform(inputs, quoted), ", ")
+    named = F.array_join(F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat(quoted(e["key"]), F.lit(": "), quoted(e["value"]))), ", ")
+    return F.sha2(F.concat(F.lit('{"i": ['), listed, F.lit('], "k": '), quoted(kind), F.lit(', "p": {'), named, F.lit("}}")), 256)

@@ -418,11 +418,11 @@ def resubmissions(spark, at):
     return o.select(k.alias("id"), F.array_join(ledger.differing_keys(prior, asked), ",").alias("keys"))
 
 
-@query("""SELECT event_id, sha256('{"inputs":{"a":"' || event_type || '","b":"' || user_id || '"},"kind":"draft","params":{"n":"' || event_id % 7 || '"}}') AS key FROM events""")
+@query("""SELECT event_id, sha256('{"i": ["' || event_type || '", "' || user_id || '"], "k": "draft", "p": {"a": "x\\"y", "n": "' || event_id % 7 || '"}}') AS key FROM events""")
 def step_keys(spark, at):
     e = table(spark, at, "events")
-    inputs = F.create_map(F.lit("b"), F.col("user_id").cast("string"), F.lit("a"), F.col("event_type"))
-    return e.select("event_id", ledger.step_key(F.lit("draft"), inputs, F.create_map(F.lit("n"), (F.col("event_id") % 7).cast("string"))).alias("key"))
+    params = F.create_map(F.lit("n"), (F.col("event_id") % 7).cast("string"), F.lit("a"), F.lit('x"y'))
+    return e.select("event_id", ledger.step_key(F.lit("draft"), F.array("event_type", F.col("user_id").cast("string")), params).alias("key"))
 
 
 # ---- scopes -------------------------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from quire.plans import catalogue, rules  # noqa: F401
+from quire.plans import catalogue, more, rules  # noqa: F401
 
 AT = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
