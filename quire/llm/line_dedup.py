@@ -118,12 +118,13 @@ def _sharing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, parts: Callable[[Column], Column], tokens: Callable[[Column], Column]) -> DataFrame:
     """Of pairs (a, b) of classes those whose whole token sets are similar: the later ones, b, distinct."""
-    pairs = written(_sharing(pairs, classes))
+    pairs = written(_sharing(written(pairs), classes))  # written first, so the join's shuffle is gone when classes are dealt out
     needed = pairs.select("at_a.*").unionByName(pairs.select("at_b.*")).distinct()
     pairs = pairs.select("a", "b")
     asked = written(needed.groupBy("id", "t").agg(F.collect_list(F.struct("no", "c")).alias("asked"))).alias("q")  # bounded by a text's lines
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).alias("d")
-    found = texts.join(asked, F.col("d.id").eqNullSafe(F.col("q.id")) & (F.col("d.t") == F.col("q.t")))
+    # asked grows with the corpus, so it is never broadcast
+    found = texts.join(asked.hint("merge"), F.col("d.id").eqNullSafe(F.col("q.id")) & (F.col("d.t") == F.col("q.t")))
     # bound by an outer lambda, a text is split once and not for each of its lines
     picked = F.transform(F.array(parts(F.col("text"))), lambda ls: F.transform("asked", lambda a: F.struct(a["c"].alias("c"), F.get(ls, a["no"]).alias("line"))))
     found = found.select(F.explode(F.get(picked, 0)).alias("x"))
