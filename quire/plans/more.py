@@ -172,3 +172,65 @@ def page_samples(spark, at):
     """Pages to look at of documents of as many pages as an order's key, with flagged ones."""
     o = table(spark, at, "orders").select("o_orderkey", (F.col("o_orderkey") % 400).cast("int").alias("total"), F.array((F.col("o_custkey") % 500).cast("int"), F.lit(7)).alias("flagged"))
     return o.select("o_orderkey", F.array_join(names.sample_pages(F.col("total"), F.col("flagged"), (F.col("o_orderkey") % 9).cast("int")), ",").alias("pages"))
+
+
+# ---- terminology --------------------------------------------------------------------------------------------------
+
+#: Pairs with what becomes of the term deep learning (DL), rendered Tiefenlernen or Tiefen-Lernens.
+_PAIRS = [
+    ("On deep learning now", "Zu Tiefenlernen jetzt", "rendered"), ("Deep Learning works", "Es wirkt", "drifted"), ("The DL way", "Der Weg des Tiefen-Lernens", "rendered"), ("The dl way", "Der Weg", None),
+    ("deep  space learning", "x", None), ("On deep learning", "Zu “Tiefenlernen” hier", "protected"), ("See `deep learning` only", "x", None), ("deep learnings", "x", None), ("Of deep learning", "tiefenlernen.", "rendered"),
+]
+
+
+@query(f"WITH t(i, state) AS (VALUES {_cases(_PAIRS, 1)}) SELECT event_id AS block_id, 'deep learning' AS source, 'Tiefenlernen' AS expected, state FROM events JOIN t ON event_id % {len(_PAIRS)} = i WHERE state IS NOT NULL")
+def term_drift(spark, at):
+    from quire.operators import terminology
+
+    pairs = table(spark, at, "events").select(F.col("event_id").alias("block_id"), _pick(_PAIRS, 0).alias("source_text"), _pick(_PAIRS, 1).alias("target_text"))
+    glossary = spark.createDataFrame([("deep learning", "Tiefenlernen", ["DL"], ["Tiefen-Lernens"]), ("unseen", "nie", [], [])], "source string, translation string, aliases array<string>, inflected_variants array<string>")
+    return terminology.term_drift(pairs, glossary)
+
+
+#: Targets, and what enforcement makes of them.
+_TARGETS = [
+    ("The net is a neural net.", "The network is a neural network."), ("A NET and `net` and http://net.org", "A network and `net` and http://net.org"), ("Networks only", None), ("“net” quoted", None),
+    ("neural network", None), ("使用机器学习法", "使用机器学习方法"), ("机器学习方法", None),
+]
+
+
+@query(f"WITH t(i, t) AS (VALUES {_cases(_TARGETS, 1)}) SELECT event_id AS block_id, t AS text FROM events JOIN t ON event_id % {len(_TARGETS)} = i WHERE t IS NOT NULL")
+def enforced_terms(spark, at):
+    from quire.operators import terminology
+
+    blocks = table(spark, at, "events").select(F.col("event_id").alias("block_id"), _pick(_TARGETS, 0).alias("target_text"))
+    variants = spark.createDataFrame([("net", "network"), ("neural net", "neural network"), ("机器学习法", "机器学习方法")], "surface string, canonical string")
+    return terminology.wrong_surfaces(blocks, variants).select("block_id", "text")
+
+
+_NAMED = f"{LINES}, n AS (SELECT doc_id, block_id, 'GPT-' || spine_index || ' and DATA, ' || CASE WHEN doc_id % 2 = 0 THEN 'Data' ELSE 'nothing' END || ' LSTM pagedAttention AI' AS t FROM b)"
+
+
+@query(f"WITH {_NAMED} SELECT block_id, unnest(CASE WHEN doc_id % 2 = 0 THEN [split_part(t, ' ', 1), 'LSTM', 'pagedAttention'] ELSE [split_part(t, ' ', 1), 'LSTM', 'pagedAttention', 'DATA'] END) AS term FROM n")
+def identifier_terms(spark, at):
+    """Lines with identifiers, and a word in capitals that every other document has in ordinary case too."""
+    from quire.operators import terminology
+
+    text = F.concat(F.lit("GPT-"), F.col("spine_index"), F.lit(" and DATA, "), F.when(F.col("doc_id") % 2 == 0, "Data").otherwise("nothing"), F.lit(" LSTM pagedAttention AI"))
+    return terminology.identifiers(doc_blocks(spark, at).withColumn("source_text", text)).select("block_id", "term")
+
+
+@query(rf"""WITH {LINES}, w AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(source_text, '[^\x00-\x7F]', 'x', 'g'), '\b[A-Z][A-Z0-9]+\b', ' ', 'g'), '[A-Za-z]+')) AS w FROM b) SELECT doc_id, count(DISTINCT lower(w)) AS words FROM w GROUP BY doc_id""")
+def document_words(spark, at):
+    from quire.operators import terminology
+
+    return terminology.vocabulary(doc_blocks(spark, at).withColumn("source_text", F.regexp_replace("source_text", r"[^\x00-\x7F]", "x"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"))
+
+
+@query("""WITH g AS (SELECT p_name AS source, p_brand AS translation, ['term', 'person', 'place', 'work'][p_size % 4 + 1] AS kind, p_size AS frequency FROM part), r AS (SELECT *, row_number() OVER (ORDER BY kind NOT IN ('person', 'place'), frequency DESC, source, translation) AS place FROM g)
+SELECT place::INT AS place, source, translation FROM r WHERE place <= 60""")
+def glossary_sheet(spark, at):
+    from quire.operators import terminology
+
+    g = table(spark, at, "part").selectExpr("p_name AS source", "p_brand AS translation", "array('term','person','place','work')[p_size % 4] AS kind", "p_size AS frequency")
+    return terminology.glossary_table(g, 60)
