@@ -56,13 +56,22 @@ def claim_order(jobs: DataFrame, cap: int = 8, per_tenant: int = 2) -> DataFrame
     queued = jobs.filter("status = 'queued'").join(running, "tenant_id", "left").withColumn("_own", F.row_number().over(Window.partitionBy("tenant_id").orderBy(*order)))
     queued = queued.filter(F.col("_own") + F.coalesce("_run", F.lit(0)) <= per_tenant)
     busy = jobs.filter("status = 'running'").agg(F.count(F.lit(1))).scalar()
-    ranked = queued.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    first = queued.orderBy(*order).limit(cap)  # no more can start, so the rank below is over as many rows
+    ranked = first.withColumn("place", F.row_number().over(Window.orderBy(*order)))
     return ranked.filter(F.col("place") + busy <= cap).select("job_id", "tenant_id", "place")
 
 
-def queue_position(jobs: DataFrame) -> DataFrame:
-    """(job_id, position) of queued jobs."""
-    return jobs.filter("status = 'queued'").select("job_id", F.rank().over(Window.orderBy(F.col("priority").desc(), "enqueued_at")).alias("position"))
+def queue_position(jobs: DataFrame, slot: int = 3600) -> DataFrame:
+    """(job_id, position) of queued jobs: one more than the jobs of higher priority or of the same that came before.
+
+    Jobs are ranked inside their priority and slot of time; what comes before a slot is a running sum over slots, not over jobs.
+    """
+    queued = jobs.filter("status = 'queued'").withColumn("_slot", F.floor(F.col("enqueued_at") / slot))
+    slots = queued.groupBy("priority", "_slot").agg(F.count(F.lit(1)).alias("_in"))
+    ahead = Window.orderBy(F.col("priority").desc(), "_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select("priority", "_slot", F.coalesce(F.sum("_in").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = queued.withColumn("_rank", F.rank().over(Window.partitionBy("priority", "_slot").orderBy("enqueued_at")))
+    return inside.join(slots, ["priority", "_slot"]).select("job_id", (F.col("_rank") + F.col("_ahead")).cast("int").alias("position"))
 
 
 def reclaim(jobs: DataFrame, now: float) -> DataFrame:

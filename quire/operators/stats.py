@@ -94,10 +94,11 @@ def pareto_frontier(points: DataFrame, quality: str, cost: str) -> DataFrame:
 
 def usage_cost(usage: DataFrame, prices: DataFrame, key: str) -> DataFrame:
     """Cost by key in USD, null if any model that used tokens has no price or calls that were not measured; and the cache-hit rate."""
-    nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.length("model_prefix").desc_nulls_last()))
-    rows = usage.withColumn("_row", F.monotonically_increasing_id())
-    rows = rows.join(F.broadcast(prices), rows.model.startswith(prices.model_prefix), "left").withColumn("_n", nth).filter("_n = 1")  # a price list is a packaged table
+    models = usage.select("model").distinct()  # each model's price is found once, by its prefixes
+    prefixes = models.select("model", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("model"), F.lit(1))), lambda k: F.substring("model", F.lit(1), k))).alias("model_prefix"))
+    found = prefixes.join(prices, "model_prefix").groupBy("model").agg(F.max_by(F.struct("input", "output", "cached_input"), F.length("model_prefix")).alias("_p"))
+    rows = usage.join(found, "model", "left").select("*", "_p.*")
     plain = F.col("prompt_tokens") - F.col("cached_tokens")
     one = (plain * F.col("input") + F.col("cached_tokens") * F.col("cached_input") + F.col("completion_tokens") * F.col("output")) / 1e6
-    unknown = (F.col("model_prefix").isNull() & (F.col("prompt_tokens") + F.col("completion_tokens") > 0)) | (F.col("unmeasured_calls") > 0)
+    unknown = (F.col("_p").isNull() & (F.col("prompt_tokens") + F.col("completion_tokens") > 0)) | (F.col("unmeasured_calls") > 0)
     return rows.groupBy(key).agg(F.when(~F.bool_or(unknown), F.sum(one)).alias("cost_usd"), F.least(F.coalesce(F.try_divide(F.sum("cached_tokens"), F.sum("prompt_tokens")), F.lit(0.0)), F.lit(1.0)).alias("cache_hit_rate"))

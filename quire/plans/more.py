@@ -154,9 +154,9 @@ def document_domains(spark, at):
     return table(spark, at, "documents").select("doc_id", signals.domain(text).alias("d")).select("doc_id", "d.*")
 
 
-@query("""SELECT p_partkey, round_even(((13000 - 4550) * p_size + 4550 * p_size / 10.0 + 10000 * p_retailprice) / 1e6, 4) AS cost_usd FROM part""")
+@query("""SELECT p_partkey, round_even(((13000 - 4550) * p_size + 4550 * p_size / 10.0 + 10000 * p_retailprice / 7.0) / 1e6, 4) AS cost_usd FROM part""")
 def model_costs(spark, at):
-    m = table(spark, at, "part").selectExpr("p_partkey", "double(p_size) AS input", "p_size / 10.0D AS cached_input", "p_retailprice AS output")
+    m = table(spark, at, "part").selectExpr("p_partkey", "double(p_size) AS input", "p_size / 10.0D AS cached_input", "p_retailprice / 7.0D AS output")
     return signals.model_points(m).select("p_partkey", "cost_usd")
 
 
