@@ -49,21 +49,24 @@ def _slots(context: Column, domain: Column, human: Column | None = None) -> Colu
 def lookup_exact(blocks: DataFrame, memory: DataFrame, text_col: str = "source_text", context: Column | None = None, domain: Column | None = None) -> DataFrame:
     """blocks with tm_text and tm_id, the best exact hit of memory (src_text, tgt_text, provenance, domain, context_hash, id), or null.
 
-    Texts are equal with white space collapsed. Rows that carry their source over are out, as are those that may not answer. Best: human before machine, the
+    Texts are equal with white space collapsed (by 128 bits of hash); ids name rows. Rows that carry their source over are out, as are those that may not answer. Best: human before machine, the
     block's context, its domain, then the largest id. Each text keeps one row a slot, context and domain, and each different
     question (text, context, domain) asks eight slots, so neither a hot text nor repeated blocks multiply.
     """
     none = F.lit("")
     asks = [(none if x is None else F.coalesce(x, none)) for x in (context, domain)]
     stored = [F.col(c) if c in memory.columns else none for c in ("context_hash", "domain")]
-    rows = memory.filter(~echoes(F.col("provenance"), F.col("src_text"), F.col("tgt_text")))
-    rows = rows.select(tx.tm_hash(F.col("src_text")).alias("_key"), "id", "tgt_text", F.explode(_slots(*stored, F.col("provenance") == "human_pe")).alias("s"))
-    best = rows.groupBy("_key", "s.slot", "s.c", "s.d").agg(F.max_by(F.struct("id", "tgt_text"), "id").alias("hit"))
-    keyed = blocks.withColumns({"_key": tx.tm_hash(F.col(text_col)), "_c": asks[0], "_d": asks[1]})
-    asked = keyed.select("_key", "_c", "_d").distinct().withColumn("s", F.explode(_slots(F.col("_c"), F.col("_d")))).select("*", "s.*").drop("s")
-    found = asked.join(best, ["_key", "slot", "c", "d"]).groupBy("_key", "_c", "_d").agg(F.min_by("hit", "slot").alias("hit"))
-    out = keyed.join(found, ["_key", "_c", "_d"], "left")
-    return out.withColumns({"tm_text": F.col("hit.tgt_text"), "tm_id": F.col("hit.id")}).drop("_key", "_c", "_d", "hit")
+    keys, cells = ["_k1", "_k2"], ["slot", "c", "d"]
+    hashed = lambda text: {"_k1": F.xxhash64(tx.collapsed(text)), "_k2": F.xxhash64(F.lit(1), tx.collapsed(text))}
+    rows = memory.filter(~echoes(F.col("provenance"), F.col("src_text"), F.col("tgt_text"))).withColumns(hashed(F.col("src_text")))
+    rows = rows.select(*keys, "id", F.explode(_slots(*stored, F.col("provenance") == "human_pe")).alias("s"))
+    best = rows.groupBy(*keys, "s.slot", "s.c", "s.d").agg(F.max("id").alias("id"))  # of ids alone, so the combining is by hash
+    keyed = blocks.withColumns(hashed(F.col(text_col)) | {"_c": asks[0], "_d": asks[1]})
+    asked = keyed.select(*keys, "_c", "_d").distinct().withColumn("s", F.explode(_slots(F.col("_c"), F.col("_d")))).select("*", "s.*").drop("s")
+    found = asked.join(best, [*keys, *cells]).groupBy(*keys, "_c", "_d").agg(F.min_by("id", "slot").alias("tm_id"))
+    texts = memory.select(F.col("id").alias("tm_id"), F.col("tgt_text").alias("tm_text"))
+    found = found.join(texts, "tm_id")
+    return keyed.join(found, [*keys, "_c", "_d"], "left").drop(*keys, "_c", "_d")
 
 
 def shingles(text: Column, n: int = 3) -> Column:

@@ -214,18 +214,18 @@ def exact_duplicates(spark, at):
     return rows.groupBy("src_hash").agg(F.count(F.lit(1)).alias("copies"), F.countDistinct("doc_id").alias("docs")).filter("copies > 1")
 
 
-_MEMORY = """m AS (SELECT item_id, unnest(string_split(text, chr(10))) AS src_text FROM benchmark UNION ALL SELECT doc_id + 1000000, unnest(string_split(text, chr(10))) FROM documents), v(k) AS (VALUES (0), (1), (2), (3), (4)),
-mm AS (SELECT item_id * 10 + k AS id, src_text, CASE WHEN k = 4 THEN upper(left(src_text, 1)) || substr(src_text, 2) ELSE '→ ' || src_text END AS tgt_text, CASE WHEN k = 0 AND item_id % 3 = 0 THEN 'human_pe' ELSE 'machine' END AS provenance,
+_MEMORY = """m AS (SELECT item_id, unnest(string_split(text, chr(10))) AS src_text, unnest(range(len(string_split(text, chr(10))))) AS line FROM benchmark UNION ALL SELECT doc_id + 1000000, unnest(string_split(text, chr(10))), unnest(range(len(string_split(text, chr(10))))) FROM documents), v(k) AS (VALUES (0), (1), (2), (3), (4)),
+mm AS (SELECT (item_id * 100000 + line) * 10 + k AS id, src_text, CASE WHEN k = 4 THEN upper(left(src_text, 1)) || substr(src_text, 2) ELSE '→ ' || src_text END AS tgt_text, CASE WHEN k = 0 AND item_id % 3 = 0 THEN 'human_pe' ELSE 'machine' END AS provenance,
   ['', 'c1', 'c2', 'c9', ''][k + 1] AS context_hash, CASE WHEN k = 3 OR item_id % 4 = 0 THEN 'law' ELSE 'tech' END AS domain FROM m, v WHERE src_text <> '' AND (k <> 0 OR item_id % 3 < 2))"""
 
 
 def tm(spark, at):
     """The lines of benchmark and documents as a memory: of each five rows in several contexts and domains, one of which only carries the line over."""
     lines = table(spark, at, "benchmark").select("item_id", "text").unionAll(table(spark, at, "documents").select(F.col("doc_id") + 1000000, "text"))
-    lines = lines.select("item_id", F.explode(F.split("text", "\n")).alias("src_text")).filter("src_text <> ''")
-    rows = lines.select("item_id", "src_text", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).filter("k <> 0 or item_id % 3 < 2")
+    lines = lines.select("item_id", F.posexplode(F.split("text", "\n")).alias("line", "src_text")).filter("src_text <> ''")
+    rows = lines.select("item_id", "line", "src_text", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).filter("k <> 0 or item_id % 3 < 2")
     return rows.selectExpr(
-        "item_id * 10 + k AS id", "src_text", "CASE WHEN k = 4 THEN concat(upper(left(src_text, 1)), substr(src_text, 2)) ELSE concat('→ ', src_text) END AS tgt_text",
+        "(item_id * 100000 + line) * 10 + k AS id", "src_text", "CASE WHEN k = 4 THEN concat(upper(left(src_text, 1)), substr(src_text, 2)) ELSE concat('→ ', src_text) END AS tgt_text",
         "CASE WHEN k = 0 AND item_id % 3 = 0 THEN 'human_pe' ELSE 'machine' END AS provenance", "array('', 'c1', 'c2', 'c9', '')[k] AS context_hash", "CASE WHEN k = 3 OR item_id % 4 = 0 THEN 'law' ELSE 'tech' END AS domain",
     )
 
