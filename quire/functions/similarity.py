@@ -53,6 +53,9 @@ def sentence_bleu(reference: str, candidate: str, most: int = 4) -> float:
         return 0.0
     total = 0.0
     for n in range(1, most + 1):
+        if min(len(r), len(c)) < n:
+            total -= math.log(len(c) + 1)
+            continue
         grams = lambda x: Counter(tuple(x[k : k + n]) for k in range(len(x) - n + 1))  # noqa: B023, E731
         have, want = grams(c), grams(r)
         total += math.log((sum((have & want).values()) + 1) / (sum(have.values()) + 1))

@@ -59,3 +59,35 @@ def backmatter(blocks: DataFrame, doc: str, is_chapter: Column) -> DataFrame:
     out = out.withColumn("_part", F.when(F.col("_open"), F.struct(number.alias("number"), F.col("_k.kind").alias("kind"), letter.alias("letter"), F.col("_k.title").alias("title"))))
     live = F.last("_open", ignorenulls=True).over(order)
     return out.withColumn("part", F.when(live, F.last("_part", ignorenulls=True).over(order))).drop("_k", "_open", "_part")
+
+
+def preamble(blocks: DataFrame, doc: str, is_chapter: Column, text: Column) -> DataFrame:
+    """blocks with chapter (a running number), and quote, source or abstract for those that open a chapter, before its first other text."""
+    from quire.functions.passages import abstract_text
+
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    order = Window.partitionBy(doc).orderBy("spine_index")
+    out = blocks.withColumns({"_a": F.when(~is_chapter, abstract_text(t)), "_e": F.when(~is_chapter, names.epigraph(t))})
+    out = out.withColumns({"_body": (~is_chapter & (t != "") & F.col("_a").isNull() & F.col("_e").isNull()).cast("int"), "chapter": F.sum(is_chapter.cast("int")).over(order)})
+    before = F.coalesce(F.sum("_body").over(Window.partitionBy(doc, "chapter").orderBy("spine_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    opens = (F.col("chapter") > 0) & (before == 0) & (t != "")
+    out = out.withColumn("_o", opens)
+    quoted = F.col("_o") & F.col("_a").isNull()
+    return out.withColumns({"abstract": F.when(F.col("_o"), F.col("_a")), "quote": F.when(quoted, F.col("_e.quote")), "source": F.when(quoted, F.col("_e.source"))}).drop("_a", "_e", "_body", "_o")
+
+
+def figure_panels(blocks: DataFrame, doc: str, is_image: Column, text: Column, most: int = 4) -> DataFrame:
+    """(doc, panel, images, columns, caption, labels): images that follow each other, with the caption after them and the labels of its parts; without
+    such labels several images are (a), (b) and so on. A run of images is bounded by its page's."""
+    from quire.functions.passages import CAPTION, caption_parts
+
+    order = Window.partitionBy(doc).orderBy("spine_index")
+    rows = blocks.select(doc, "spine_index", "block_id", is_image.alias("_i"), text.alias("_t"))
+    rows = rows.withColumns({"_run": F.sum((~F.col("_i")).cast("int")).over(order), "_next": F.lead("_t").over(order), "_more": F.coalesce(F.lead("_i").over(order), F.lit(False))})
+    runs = rows.filter("_i").groupBy(doc, "_run").agg(F.min("spine_index").alias("at"), F.count(F.lit(1)).cast("int").alias("images"), F.max(F.when(~F.col("_more"), F.col("_next"))).alias("_c"))
+    runs = runs.withColumn("_p", F.when(F.col("_c").rlike(CAPTION), caption_parts(F.col("_c"))))
+    letters = F.transform(F.sequence(F.lit(0), F.col("images") - 1), lambda k: F.concat(F.lit("("), F.char(97 + k % 26), F.lit(")")))
+    given = F.slice(F.coalesce(F.transform("_p.parts", lambda p: p["label"]), F.array().cast("array<string>")), F.lit(1), F.col("images"))
+    labels = F.when(F.col("images") > 1, F.concat(given, F.slice(letters, F.size(given) + 1, F.col("images")))).otherwise(given)
+    number = F.row_number().over(Window.partitionBy(doc).orderBy("at"))
+    return runs.withColumns({"panel": number, "labels": labels}).select(doc, "panel", "images", names.grid_columns(F.col("images"), most).alias("columns"), F.col("_p.main").alias("caption"), "labels")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import marks, names, skip
-from quire.operators import signals
+from quire.operators import layout, signals
 from quire.plans.catalogue import LINES, doc_blocks, query, table
 from quire.sources import sinks
 
@@ -234,3 +234,79 @@ def glossary_sheet(spark, at):
 
     g = table(spark, at, "part").selectExpr("p_name AS source", "p_brand AS translation", "array('term','person','place','work')[p_size % 4] AS kind", "p_size AS frequency")
     return terminology.glossary_table(g, 60)
+
+
+# ---- passages -----------------------------------------------------------------------------------------------------
+
+_CAPTIONS = [
+    ("Figure 3: Ablation studies. (a) Learning rate decay; (b) Batch size variation.", "Figure 3: Ablation studies.", "(a)|(b)", "Learning rate decay|Batch size variation."), ("图 2：结果（一）甲，（二）乙", "图 2：结果（一）甲，", "(二)", "乙"),
+    ("Table 1: Plain", "Table 1: Plain", "", ""), ("a) first b) second", "", "(a)|(b)", "first|second"), ("Fig. 4: A: left; B: right", "Fig. 4", "(A)|(B)", "left|right"), ("", "", "", ""),
+]
+
+
+@query(f"WITH t(i, main, labels, texts) AS (VALUES {_cases(_CAPTIONS, 3)}) SELECT event_id, main, labels, texts FROM events JOIN t ON event_id % {len(_CAPTIONS)} = i")
+def figure_captions(spark, at):
+    from quire.functions import passages
+
+    e = table(spark, at, "events").select("event_id", passages.caption_parts(_pick(_CAPTIONS, 0)).alias("c"))
+    joined = lambda k: F.array_join(F.transform("c.parts", lambda p: p[k]), "|")
+    return e.select("event_id", F.col("c.main").alias("main"), joined("label").alias("labels"), joined("text").alias("texts"))
+
+
+_SENTENCES = [
+    ("One is here. Two is there! Three?", "One is here.|Two is there!|Three?"), ("See Fig. 3 for it. Then go.", "See Fig. 3 for it.|Then go."), ("It is 0.85 now. Of 12. Items.", "It is 0.85 now.|Of 12. Items."), ("甲是。乙是！丙", "甲是。|乙是！|丙"),
+    ("Smith et al. wrote (e.g. this). Yes.", "Smith et al. wrote (e.g. this).|Yes."), ("", ""), ("He said “so.” She left.", "He said “so.|She left."),
+]
+
+
+@query(f"WITH t(i, s) AS (VALUES {_cases(_SENTENCES, 1)}) SELECT event_id, s AS sentences FROM events JOIN t ON event_id % {len(_SENTENCES)} = i")
+def split_sentences(spark, at):
+    from quire.functions import passages
+
+    return table(spark, at, "events").select("event_id", F.array_join(passages.sentences(_pick(_SENTENCES, 0)), "|").alias("sentences"))
+
+
+_TERMS = [("本章主要讨论注意力机制", "注意力机制"), ("使用基于图的方法", "图的方法"), ("和平", "和平"), ("对比学习", "比学习"), ("该模型", "模型"), ("网络", "网络"), ("我们提出该", "提出该")]
+
+
+@query(f"WITH t(i, s) AS (VALUES {_cases(_TERMS, 1)}) SELECT event_id, s AS core FROM events JOIN t ON event_id % {len(_TERMS)} = i")
+def chinese_terms(spark, at):
+    from quire.functions import passages
+
+    return table(spark, at, "events").select("event_id", passages.term_core(_pick([(f" {a}", b) if k % 2 else (a, b) for k, (a, b) in enumerate(_TERMS)], 0)).alias("core"))
+
+
+@query(f"""WITH {LINES}, k AS (SELECT doc_id, spine_index, spine_index % 7 AS i FROM b), c AS (SELECT *, sum((i = 0)::INT) OVER (PARTITION BY doc_id ORDER BY spine_index)::BIGINT AS chapter FROM k)
+SELECT doc_id, spine_index, chapter, CASE WHEN i = 1 THEN 'what it is' END AS abstract, CASE WHEN i = 2 THEN 'To be' END AS quote, CASE WHEN i = 2 THEN 'Ann' END AS source FROM c""")
+def chapter_preambles(spark, at):
+    """Lines as chapters of seven blocks: a heading, an abstract, a quotation, text, and a quotation that opens nothing."""
+    i = F.col("spine_index") % 7
+    text = F.when(i == 1, "Abstract: what it is").when(i.isin(2, 4), "To be — Ann").otherwise(F.concat(F.lit("plain "), F.regexp_replace("source_text", "[—–-]", " ")))
+    out = layout.preamble(doc_blocks(spark, at).select("doc_id", "spine_index", text.alias("t")), "doc_id", i == 0, F.col("t"))
+    return out.select("doc_id", "spine_index", "chapter", "abstract", "quote", "source")
+
+
+@query(f"""WITH {LINES}, k AS (SELECT doc_id, spine_index // 6 AS g, count(*) FILTER (WHERE spine_index % 6 < 3 AND spine_index % 6 <= spine_index // 6 % 3) AS images, count(*) FILTER (WHERE spine_index % 6 = spine_index // 6 % 3 + 1) AS after_ FROM b GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g)::INT AS panel, images::INT AS images, images::INT AS columns, CASE WHEN after_ > 0 THEN 'Figure ' || g || ': All.' END AS caption,
+  CASE WHEN images = 1 AND after_ > 0 THEN '(x)' WHEN images = 1 THEN '' WHEN images = 2 AND after_ > 0 THEN '(x),(b)' WHEN images = 2 THEN '(a),(b)' WHEN after_ > 0 THEN '(x),(b),(c)' ELSE '(a),(b),(c)' END AS labels FROM k WHERE images > 0""")
+def figure_panels(spark, at):
+    """Lines as groups of six blocks: one to three images, a caption with one part, and text."""
+    i, g = F.col("spine_index") % 6, F.floor(F.col("spine_index") / 6)
+    image = (i < 3) & (i <= g % 3)
+    text = F.when(i == g % 3 + 1, F.concat(F.lit("Figure "), g.cast("string"), F.lit(": All. (x) part"))).otherwise("plain")
+    out = layout.figure_panels(doc_blocks(spark, at), "doc_id", image, text)
+    return out.withColumn("labels", F.array_join("labels", ","))
+
+
+_BACK = [
+    ("It costs 12 units of GPU9 today", "It costs 12 units of GPU9 today", "none", 1), ("It costs 12 units today", "It costs units today", "critical", 0), ("It is not safe here", "It is safe here", "major", 0), ("", "x", "critical", 0),
+    ("The quick brown fox jumps", "Completely other words were said there", "minor", 0),
+]
+
+
+@query(f"WITH t(i, severity, passed) AS (VALUES {_cases(_BACK, 2)}) SELECT event_id, severity, passed = 1 AS passed FROM events JOIN t ON event_id % {len(_BACK)} = i")
+def pair_verdicts(spark, at):
+    from quire.functions import passages
+
+    e = table(spark, at, "events").select("event_id", _pick(_BACK, 0).alias("s"), _pick(_BACK, 1).alias("b")).withColumn("x", passages.pair_scores()("s", "b"))
+    return e.select("event_id", passages.pair_verdict(F.col("s"), F.col("b"), F.col("x")).alias("v")).select("event_id", "v.severity", "v.passed")
