@@ -147,3 +147,34 @@ def boilerplate(lines: DataFrame, by: str, share: float = 0.4, least: int = 3, d
     return n.join(total, by).filter(F.col("n_docs") >= F.greatest(F.lit(least), F.col("_total") * share)).drop("_total")
 
 
+
+
+def dropped_lines(lines: DataFrame, all_numbers: bool = False) -> DataFrame:
+    """(doc_id, spine_index) of lines that are structural noise or page numbers.
+
+    A line of digits goes if it is a page number (or all_numbers) or stands beside noise, but stays before a title or item, after
+    a line that ends in a colon, and while such a list counts on by one. Blank lines are passed over.
+    """
+    from quire.functions import names
+
+    by = Window.partitionBy("doc_id").orderBy("spine_index")
+    full = lines.select("doc_id", "spine_index", "source_text").filter(F.col("source_text").rlike(r"(?U)\S"))
+    rows = full.select("*", F.lag("source_text").over(by).alias("_before"), F.lead("source_text").over(by).alias("_after"))
+    noise = rows.filter(names.calibre_noise(F.col("source_text"))).select("doc_id", "spine_index")
+    digits = rows.filter(F.col("source_text").rlike(r"^\s*[0-9]{1,18}\s*$") & ~F.coalesce(names.heading_or_item(F.col("_after")), F.lit(False)))
+    digits = digits.withColumns({"_v": F.trim("source_text").cast("long"), "_opens": F.coalesce(F.col("_before").rlike(r"(?U):\s*$"), F.lit(False))})
+    breaks = (F.col("_opens") | F.coalesce(F.col("_v") != F.lag("_v").over(by) + 1, F.lit(True))).cast("int")
+    digits = digits.withColumn("_breaks", breaks).withColumn("_run", F.sum("_breaks").over(by))
+    listed = F.first("_opens").over(Window.partitionBy("doc_id", "_run").orderBy("spine_index").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    beside = F.coalesce(names.calibre_noise(F.col("_before")), F.lit(False)) | F.coalesce(names.calibre_noise(F.col("_after")), F.lit(False))
+    loose = digits.withColumn("_listed", listed).filter(~F.col("_listed")).select("doc_id", "spine_index", beside.alias("_beside"))
+    if all_numbers:
+        return noise.unionByName(loose.select("doc_id", "spine_index"))
+    numbers = page_number_lines(lines).withColumn("_number", F.lit(True))
+    gone = loose.join(numbers, ["doc_id", "spine_index"], "left").filter(F.col("_beside") | F.col("_number"))
+    return noise.unionByName(gone.select("doc_id", "spine_index"))
+
+
+def clean_lines(lines: DataFrame, all_numbers: bool = False) -> DataFrame:
+    """lines without those that dropped_lines names."""
+    return lines.join(dropped_lines(lines, all_numbers), ["doc_id", "spine_index"], "left_anti")

@@ -72,3 +72,30 @@ def glossary_table(glossary: DataFrame, most: int) -> DataFrame:
     order = [F.when(F.col("kind").isin(*FIRST_KINDS), 0).otherwise(1), F.coalesce("frequency", F.lit(0)).desc(), "source", "translation"]
     top = glossary.filter(F.coalesce("source", F.lit("")) != "").orderBy(*order).limit(most)
     return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("place", "source", "translation")  # of `most` rows
+
+
+#: First cells of the heads of rendered tables.
+TABLE_HEADS = ("原文", "缩写")
+
+
+def merged_tables(tables: Column) -> Column:
+    """Rendered tables as one a head, in the order of heads: the head, then each row once by its first cell, the first one's.
+
+    Lines outside tables are left out. Rows belong to the last head before them.
+    """
+    lines = F.filter(F.transform(F.split(F.array_join(F.coalesce(tables, F.array().cast("array<string>")), "\n"), "\n"), lambda x: F.trim(x)), lambda x: x.startswith("|"))
+    cell = lambda x: F.trim(F.get(F.split(F.regexp_replace(x, r"^\|+|\|+$", ""), r"\|"), 0))
+    empty = F.array().cast("array<struct<head:string,first:string,line:string>>")
+
+    def step(state: Column, line: Column) -> Column:
+        first = cell(line)
+        head = F.when(first.isin(*TABLE_HEADS), first).otherwise(state["head"])
+        rule = line.rlike(r"^[|:\- ]+$")
+        key = F.when(rule, F.lit("\x00rule")).otherwise(first)
+        known = F.exists(state["rows"], lambda r: (r["head"] == head) & (r["first"] == key))
+        new = (head != "") & ((first != "") | rule) & ~known
+        return F.struct(head.alias("head"), F.when(new, F.concat(state["rows"], F.array(F.struct(head.alias("head"), key.alias("first"), line.alias("line"))))).otherwise(state["rows"]).alias("rows"))
+
+    rows = F.aggregate(lines, F.struct(F.lit("").alias("head"), empty.alias("rows")), step)["rows"]
+    heads = F.array_distinct(F.transform(rows, lambda r: r["head"]))
+    return F.array_join(F.transform(heads, lambda h: F.array_join(F.transform(F.filter(rows, lambda r: r["head"] == h), lambda r: r["line"]), "\n")), "\n\n")

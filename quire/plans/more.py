@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import marks, names, skip
-from quire.operators import layout, signals
+from quire.operators import layout, order, signals
 from quire.plans.catalogue import LINES, doc_blocks, query, table
 from quire.sources import sinks
 
@@ -310,3 +310,29 @@ def pair_verdicts(spark, at):
 
     e = table(spark, at, "events").select("event_id", _pick(_BACK, 0).alias("s"), _pick(_BACK, 1).alias("b")).withColumn("x", passages.pair_scores()("s", "b"))
     return e.select("event_id", passages.pair_verdict(F.col("s"), F.col("b"), F.col("x")).alias("v")).select("event_id", "v.severity", "v.passed")
+
+
+@query(f"""WITH {LINES} SELECT block_id, (spine_index % 10)::BIGINT AS kind FROM b WHERE spine_index % 10 NOT IN (7, 8)""")
+def cleaned_lines(spark, at):
+    """Lines in groups of ten: a list that counts on after a colon, a number out of order, noise, and a number beside it."""
+    i, base = F.col("spine_index") % 10, 100_000 - F.floor(F.col("spine_index") / 10) * 100
+    number = lambda k: (base + k).cast("string")
+    text = (
+        F.when(i == 0, "Items are these:").when(i == 1, number(1)).when(i == 3, number(2)).when(i == 5, number(7)).when(i == 7, "::: box").when(i == 8, number(5)).otherwise("A whole sentence here.")
+    )
+    b = doc_blocks(spark, at).select("doc_id", "spine_index", "block_id", text.alias("source_text"))
+    return order.clean_lines(b).select("block_id", (F.col("spine_index") % 10).cast("long").alias("kind"))
+
+
+@query(r"""WITH r(i, a, b) AS (VALUES (0, 'NET', 'neural'), (1, 'net', 'web'), (2, 'CPU', 'x'), (3, 'GPU', 'y')), t AS (SELECT o_orderkey AS doc, (o_orderkey % 4)::INT AS p, ((o_orderkey + 1) % 4)::INT AS q FROM orders)
+SELECT doc, '| 原文 | 译文 |' || chr(10) || '|---|---|' || chr(10) || '| ' || x.a || ' | ' || x.b || ' |' || chr(10) || '| ' || y.a || ' | ' || y.b || ' |' AS merged FROM t JOIN r x ON x.i = p JOIN r y ON y.i = q""")
+def merged_tables(spark, at):
+    """Two rendered tables an order, which share a row."""
+    from quire.operators import terminology
+
+    rows = [("NET", "neural"), ("net", "web"), ("CPU", "x"), ("GPU", "y")]
+    row = lambda k: F.element_at(F.array(*[F.lit(f"| {a} | {b} |") for a, b in rows]), ((F.col("o_orderkey") + k) % 4 + 1).cast("int"))
+    head = F.lit("| 原文 | 译文 |\n|---|---|\n")
+    o = table(spark, at, "orders")
+    tables = F.array(F.concat(head, row(0)), F.concat(head, row(0), F.lit("\n"), row(1)))
+    return o.select(F.col("o_orderkey").alias("doc"), terminology.merged_tables(tables).alias("merged"))
