@@ -27,7 +27,7 @@ def source_targets(sizes: DataFrame, source_col: str = "source", weights: tuple[
     Water filling: targets are in proportion to the weights, but stop at `most` times the source's
     size, and what is over goes to the others by weight until none is above. With sources in order of
     cap / weight, those that stop at their cap come first, which two running sums decide.
-    The window is over one row a source, not over documents.
+    The windows are over one row a source, in one task: good for millions of sources, not for billions.
     """
     per = sizes.groupBy(source_col).agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col(source_col).asc_nulls_last())) - 1
