@@ -246,7 +246,7 @@ _GRAMS = "list_distinct(list_transform(range(1, greatest(length(f) - 2, 1) + 1),
 @query(rf"""WITH q AS (SELECT item_id AS query, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS f FROM benchmark), c AS (SELECT doc_id AS candidate, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS f FROM documents),
 qs AS (SELECT query, f, unnest(range(1, greatest(length(f) - 2, 1) + 1)) AS k FROM q), cs AS (SELECT candidate, f, unnest(range(1, greatest(length(f) - 2, 1) + 1)) AS k FROM c),
 qg AS (SELECT query, g FROM (SELECT query, substr(f, k, 3) AS g, min(k) AS k FROM qs GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query ORDER BY k) <= 64),
-cg AS (SELECT candidate, g FROM (SELECT candidate, substr(f, k, 3) AS g, min(k) AS k FROM cs GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY k) <= 64),
+cg AS (SELECT DISTINCT candidate, substr(f, k, 3) AS g FROM cs),
 p AS (SELECT query, candidate, count(*) AS shared FROM qg JOIN cg USING (g) GROUP BY ALL)
 SELECT query, candidate, shared FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY shared DESC, candidate) <= 20""")
 def trigram_candidates(spark, at):
