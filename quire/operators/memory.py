@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.functions.similarity import indel_ratio_udf
+from quire.functions.similarity import Pack
 
 FUZZY, CANDIDATES, SHINGLES = 0.85, 200, 64
-#: Parts that each class of lengths is dealt over.
-SALTS = 16
+#: Texts and characters of a pack of queries, about.
+PACK_TEXTS, PACK_CHARS = 256, 65536
 
 
 #: Which stored rows may answer, from best to worst: whether a human's, whether of the same context, whether of the same domain.
@@ -93,21 +95,59 @@ def lookup_fuzzy(queries: DataFrame, memory: DataFrame, query_id: str, query_tex
     """(query, candidate, ratio) of all pairs whose Indel ratio is at least `least`, above 0.
 
     Exact: equal texts are compared once, and any two whose lengths allow the ratio are. Such lengths lie in the same or in
-    neighbouring classes, on which distinct texts are joined.
+    neighbouring classes. The queries of a class are dealt over packs of bounded size; memory texts are spread over all
+    tasks, each of which reads a pack and then its memory texts, by length, as a stream. Rows are found again by 128 bits of hash.
     """
     if least <= 0:
         raise ValueError("every pair has a ratio of 0 or more")
-    q = queries.select(F.col(query_id).alias("query"), tx.collapsed(F.col(query_text)).alias("a"))
-    m = memory.select(F.col(memory_id).alias("candidate"), tx.collapsed(F.col(memory_text)).alias("b"))
+    q = queries.select(F.col(query_id).alias("query"), tx.collapsed(F.col(query_text)).alias("a")).filter("a is not null")
+    m = memory.select(F.col(memory_id).alias("candidate"), tx.collapsed(F.col(memory_text)).alias("b")).filter("b is not null")
     step = math.log((2 - least) / least) + 1e-6  # a little wider, so that rounding parts no pair by two classes
     kind = lambda t: F.floor(F.log(F.greatest(F.length(t), F.lit(1))) / step)
     asked = q.select("a").distinct().withColumn("_class", F.explode(F.array(*[kind("a") + k for k in (-1, 0, 1)])))
-    asked = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    known = m.select("b").distinct().withColumns({"_class": kind("b"), "_salt": F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")})
-    n, k = F.length("a"), F.length("b")
-    both = asked.join(known, ["_class", "_salt"]).filter(F.least(n, k) * 2 >= (n + k) * least).select("a", "b")
-    hits = both.withColumn("ratio", indel_ratio_udf("a", "b")).filter(F.col("ratio") >= least)
-    return hits.join(q, "a").join(m, "b").select("query", "candidate", "ratio")
+    packs = asked.groupBy("_class").agg(F.ceil(F.greatest(F.count(F.lit(1)) / PACK_TEXTS, F.sum(F.length("a")) / PACK_CHARS)).alias("_packs"))
+    tasks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.join(packs, "_class").withColumns({"_pack": F.pmod(F.xxhash64("a"), F.col("_packs")), "_task": F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))})
+    known = m.select("b").distinct().withColumn("_class", kind("b")).join(packs, "_class").withColumn("_pack", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_packs") - 1)))
+    known = known.withColumn("_task", F.pmod(F.xxhash64("b", "_pack"), F.lit(tasks)).cast("int"))
+    side = lambda rows, stored, text: rows.select("_task", "_class", "_pack", F.lit(stored).alias("_stored"), F.col(text).alias("_text"))
+    both = side(asked, False, "a").unionAll(side(known, True, "b")).repartitionById(tasks, F.col("_task"))
+    both = both.sortWithinPartitions("_class", "_pack", "_stored", F.length("_text")).select("_class", "_pack", "_stored", "_text")
+    hits = both.mapInArrow(_meet(least), "a string, b string, ratio double")
+    keys = lambda text: {"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)}
+    hits = hits.withColumns(keys("b")).drop("b").join(q, "a").drop("a")
+    return hits.join(m.withColumns(keys("b")).drop("b"), ["_k1", "_k2"]).select("query", "candidate", "ratio")
+
+
+def _meet(least: float):
+    """Rows by pack, first its queries, then memory texts by length -> (a, b, ratio)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, texts, pack, held = None, [], None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            nonlocal pack
+            if held and texts:
+                pack = pack or Pack(texts, least)
+                hits = pack.hits(held)
+                columns = [[texts[k] for _, k, _ in hits], [held[k] for k, _, _ in hits], [r for _, _, r in hits]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True)], ["a", "b", "ratio"])
+            held.clear()
+
+        for batch in batches:
+            for *its, stored, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if its != key:
+                    yield from found()
+                    key, texts, pack = its, [], None
+                if stored:
+                    held.append(text)
+                    if len(held) == Pack.LINES:
+                        yield from found()
+                else:
+                    texts.append(text)
+        yield from found()
+
+    return run
 
 
 def write_back(memory: DataFrame, news: DataFrame, keys: tuple[str, ...] = ("src_hash", "context_hash")) -> DataFrame:
