@@ -15,11 +15,26 @@ NUM, DEN = 4, 5
 BUCKETS = 20
 #: Levels of rarity a doubling; a level fits seven bits.
 FINE = 4
+#: Asked texts are marked in 2^MARKS words of 64 bits: a megabyte, whatever the corpus.
+MARKS = 17
+
+
+def _plain(text: Column) -> Column:
+    """text with spaces for all other white space. One search is cheaper than five replaces, and few lines have any."""
+    plain = text
+    for c in WHITE[1:]:
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    return F.when(text.rlike(r"[\t-\r]"), plain).otherwise(text)
+
+
+def _words(text: Column) -> Column:
+    """As words_of, with less work for texts without unusual white space."""
+    return F.array_remove(F.split(_plain(F.replace(text, F.lit("\n"), F.lit(" "))), " "), "")
 
 
 def _tokens(line: Column) -> Column:
     """Distinct words of a line, as 64-bit hashes."""
-    return F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(F.array_remove(F.split(_plain(line), " "), ""), lambda w: F.xxhash64(w)))
 
 
 def shingles(text: Column, n: int = 5) -> Column:
@@ -34,24 +49,43 @@ def _lines(text: Column) -> Column:
 
 
 def _bucket(token: Column) -> Column:
-    return token.bitwiseAND(F.lit((1 << BUCKETS) - 1)).cast("int")
+    return token.bitwiseAND(F.lit((1 << BUCKETS) - 1))
+
+
+def _bit(token: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _table(rows: DataFrame, size: int, merge: Callable[[Column], Column], value: Callable[[Column], Column]) -> DataFrame:
+    """One row with one array, cells, of 2^size values: that of merge(v) over the rows (b, v) of each place b; places without rows have v = 0.
+
+    The array has a fixed size and is put together from parts of 1,024; it is a table that queries read by a subquery, no literal
+    in their plans.
+    """
+    every = rows.sparkSession.range(1 << size).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("v"))
+    merged = rows.groupBy("b").agg(merge(F.col("v")).alias("v")).unionByName(every).groupBy("b").agg(value(merge(F.col("v"))).alias("k"))
+    values = lambda name: F.transform(F.sort_array(F.collect_list(F.struct(name, "k"))), lambda x: x["k"])
+    parts = merged.groupBy(F.shiftright("b", 10).alias("p")).agg(values("b").alias("k"))
+    return written(parts.groupBy().agg(F.flatten(values("p")).alias("cells")))
 
 
 def rarity(docs: DataFrame, text_col: str, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
-    """One row with one array, levels: a byte a bucket that says how often the corpus has its words (or tokens), on a log scale.
+    """A table of bytes: how often the corpus has the words (or tokens) of a bucket, on a log scale.
 
     All words of all texts are counted. Any total order of tokens keeps the join exact; buckets and levels only make it
-    coarser than counts. The array has a fixed size and is put together from 1,024 parts; it is a table that queries
-    read by a subquery, no literal in their plans.
+    coarser than counts.
     """
-    words = docs.select(F.explode((tokens or words_of)(F.col(text_col))).alias("w"))
-    counts = words.groupBy(_bucket(F.col("w") if tokens else F.xxhash64("w")).alias("b")).count()
-    every = docs.sparkSession.range(1 << BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("count"))
-    counts = counts.unionByName(every).groupBy("b").agg(F.sum("count").alias("n"))
-    level = F.least(F.lit(126), F.floor(F.log2(F.col("n") + 1) * FINE)).cast("tinyint")
-    values = lambda name: F.transform(F.sort_array(F.collect_list(F.struct(name, "k"))), lambda x: x["k"])
-    parts = counts.select("b", level.alias("k")).groupBy(F.shiftright("b", 10).alias("p")).agg(values("b").alias("k"))
-    return written(parts.groupBy().agg(F.flatten(values("p")).alias("levels")))
+    found = docs.select(F.explode((tokens or _words)(F.col(text_col))).alias("w"))
+    found = found.select(_bucket(F.col("w") if tokens else F.xxhash64("w")).alias("b"), F.lit(1).cast("long").alias("v"))
+    return _table(found, BUCKETS, F.sum, lambda n: F.least(F.lit(126), F.floor(F.log2(n + 1) * FINE)).cast("tinyint"))
+
+
+def _marked(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """rows without most of those whose keys asked lacks: those whose bit of a hash no row of asked sets. A join decides on the rest."""
+    h = F.xxhash64(*keys)
+    place = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit((1 << MARKS) - 1))
+    marks = _table(asked.select(place.alias("b"), _bit(h).alias("v")), MARKS, F.bit_or, lambda v: v)
+    return rows.filter(F.get(marks.scalar(), place).bitwiseAND(_bit(h)) != 0)
 
 
 def _up(a: Column, num: int, den: int) -> Column:
@@ -69,9 +103,15 @@ def _prefix_size(n: Column) -> Column:
     return n - _up(n, NUM, DEN) + 1
 
 
-def _prefixes(classes: DataFrame) -> DataFrame:
+def _short_size(n: Column) -> Column:
+    """Of a set of n, so many first ones share a token with the first _prefix_size ones of any similar set that is not smaller."""
+    return n - _overlap(n, n) + 1
+
+
+def _prefixes(classes: DataFrame, short: bool = False) -> DataFrame:
     """A row for each token of each prefix: tok, c, n, i (place, from 1), bits."""
-    return classes.select("c", "n", "bits", F.posexplode("prefix").alias("i", "tok")).select("tok", "c", "n", (F.col("i") + 1).alias("i"), "bits")
+    prefix = F.slice("prefix", F.lit(1), _short_size(F.col("n"))) if short else F.col("prefix")
+    return classes.select("c", "n", "bits", F.posexplode(prefix).alias("i", "tok")).select("tok", "c", "n", (F.col("i") + 1).alias("i"), "bits")
 
 
 def _with_earliest(classes: DataFrame) -> DataFrame:
@@ -80,28 +120,38 @@ def _with_earliest(classes: DataFrame) -> DataFrame:
     Of the prefixes that part is enough in which similar sets of equal size share a token. A token's rows are read once in order
     of c, none of them is held.
     """
-    rows = _prefixes(classes).filter(F.col("i") <= F.col("n") - _overlap(F.col("n"), F.col("n")) + 1)
     first = F.first(F.struct("c", "n", "i", "bits")).over(Window.partitionBy("tok").orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.select("*", first.alias("a")).alias("b").filter(_may_match()).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
+    rows = _prefixes(classes, short=True).select("*", first.alias("a")).alias("b")
+    return rows.filter((F.col("a.c") < F.col("b.c")) & _may_match()).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
 
 
 def _may_match() -> Column:
-    """Length, positional and bit filters for an earlier a and a later b that share a token.
+    """Length, positional and bit filters for rows a and b that share a token.
 
     Positional: with the first shared token at places i and j, at most 1 + min(n - i, m - j) are shared. Bits: each
     set's tokens xor one bit each, so bits that differ are at most the tokens that differ.
     """
     n, m, least = F.col("a.n"), F.col("b.n"), _overlap(F.col("a.n"), F.col("b.n"))
     return (
-        (F.col("a.c") < F.col("b.c")) & (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
+        (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
         & (F.least(n - F.col("a.i"), m - F.col("b.i")) + 1 >= least)
         & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n + m - least * 2)
     )
 
 
-def _pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that share a token where the filters let them meet, distinct."""
-    return earlier.alias("a").join(later.alias("b"), (F.col("a.tok") == F.col("b.tok")) & _may_match()).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
+def _pairs(classes: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes, b later and not done, that share a token of their prefixes where the filters let them meet, distinct.
+
+    Two classes that are not done meet by the short prefix of the smaller one (of equal ones, the earlier) and the whole prefix of the other;
+    which of them is later does not matter. Done ones are only earlier: they bring their whole prefixes, and two of them never meet.
+    """
+    done = done.withColumnRenamed("b", "c")
+    rest = classes.join(done, "c", "left_anti")
+    few = _prefixes(rest, short=True).withColumn("done", F.lit(False)).unionByName(_prefixes(classes.join(done, "c", "left_semi")).withColumn("done", F.lit(True)))
+    earlier = F.col("a.c") < F.col("b.c")
+    turn = F.when(F.col("a.done") | (F.col("a.n") == F.col("b.n")), earlier).otherwise(F.col("a.n") < F.col("b.n"))
+    both = few.alias("a").join(_prefixes(rest).alias("b"), (F.col("a.tok") == F.col("b.tok")) & turn & _may_match())
+    return both.select(F.least("a.c", "b.c").alias("a"), F.greatest("a.c", "b.c").alias("b")).distinct()
 
 
 def _sharing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -122,7 +172,8 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     needed = pairs.select("at_a.*").unionByName(pairs.select("at_b.*")).distinct()
     pairs = pairs.select("a", "b")
     asked = written(needed.groupBy("id", "t").agg(F.collect_list(F.struct("no", "c")).alias("asked"))).alias("q")  # bounded by a text's lines
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).alias("d")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    texts = _marked(texts, asked, ["id", "t"]).alias("d")
     # asked grows with the corpus, so it is never broadcast
     found = texts.join(asked.hint("merge"), F.col("d.id").eqNullSafe(F.col("q.id")) & (F.col("d.t") == F.col("q.t")))
     # bound by an outer lambda, a text is split once and not for each of its lines
@@ -165,16 +216,17 @@ def dedup_lines(
     text = F.col(text_col)
     table = rarity(docs, text_col, None if tokens is _tokens else tokens).scalar()
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), table.alias("levels"), F.posexplode(parts(text)).alias("no", "line"))
-    key = lambda h: F.shiftleft(F.get("levels", _bucket(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    # never null, and said to be so: such arrays of numbers are sorted as they are, without an object for each
+    level = lambda h: F.coalesce(F.get("levels", _bucket(h)), F.lit(0).cast("tinyint"))
+    key = lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     # the row of levels is used in one place, so the optimizer moves its subquery there and no row carries it
     lines = lines.filter(F.ltrim("line", F.lit(WHITE)) != "").select("id", "t", "no", F.sort_array(F.transform(tokens(F.col("line")), key)).alias("s"))
     n = F.size("s")
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
     # in prefixes 31 bits of a token do: equal ones by chance are only candidates that the filters and the similarity turn down
     short = lambda k: F.shiftrightunsigned(F.shiftleft(k, 8), 33).cast("int")
     lines = lines.select(
         "id", "t", "no", n.alias("n"), F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(1), "s").alias("c2"),
-        F.aggregate("s", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k))).alias("bits"), F.transform(F.slice("s", 1, _prefix_size(n)), short).alias("prefix"),
+        F.aggregate("s", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_bit(k))).alias("bits"), F.transform(F.slice("s", 1, _prefix_size(n)), short).alias("prefix"),
     )
     order = F.struct(F.col("id").isNull().alias("last"), "id", "t", "no")
     classes = lines.groupBy("c1", "c2").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
@@ -183,8 +235,7 @@ def dedup_lines(
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()))
 
     done = _similar(_with_earliest(classes), classes, docs, id_col, text_col, parts, tokens)
-    rest = _prefixes(classes.join(done.withColumnRenamed("b", "c"), "c", "left_anti"))
-    more = _similar(_pairs(_prefixes(classes), rest), classes, docs, id_col, text_col, parts, tokens)
+    more = _similar(_pairs(classes, done), classes, docs, id_col, text_col, parts, tokens)
     gone = done.unionByName(more).withColumnRenamed("b", "c")
     stay = classes.select("c", "id", "t", "no").join(gone, "c", "left_anti").groupBy("id", "t").agg(F.collect_list("no").alias("stay"))
 
