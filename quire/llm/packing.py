@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import math
 import os
 import re
@@ -39,6 +40,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old, self.words_of = Tokenizer.from_file(path), {}, {}, re.compile(WORD).findall
+        self.merges = Merges.of_file(path)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # str.split also splits at wide spaces, which the tokenizer drops, and at four controls, which it does not
@@ -65,6 +67,14 @@ class Encoder:
         return Encoder(path)
 
     def _learn(self, fresh: list[str]) -> None:
+        """Words of plain characters by merges, all at once; the others by the tokenizer."""
+        plain = [w for w in fresh if self.merges.plain(w)] if self.merges else []
+        if plain:
+            self.young.update(zip(plain, self.merges.encode(plain), strict=True))
+        if len(plain) < len(fresh) and (rest := [w for w in fresh if w not in self.young]):
+            self._ask(rest)
+
+    def _ask(self, fresh: list[str]) -> None:
         """Encodes words laid side by side; offsets tell whose the tokens are."""
         encoded = self.tokenizer.encode(" ".join(fresh), add_special_tokens=False)
         starts = np.zeros(len(fresh), np.int64)
@@ -76,6 +86,136 @@ class Encoder:
             self.young[w] = ids[edges[k] : edges[k + 1]]
 
 
+class Merges:
+    """The merges of a byte-level BPE tokenizer, over many words at once.
+
+    For words of PLAIN characters only: composed, with lower case of one character, and the same letters, digits and signs to every
+    version of Unicode. Words of over 64 characters and what may hold an added token are left to the tokenizer.
+    """
+
+    PLAIN = re.compile("[!-~×÷¿¡«»“”‘’–—…€À-ÖØ-öø-įı-ž]{1,64}").fullmatch
+    LETTER, DIGIT, SIGN = 1, 2, 3
+    NONE = np.int32(2**31 - 1)
+    SLOTS = 18
+    #: What a tokenizer file has to say for this class to follow its rule.
+    RULE = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+        "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+    }
+
+    def __init__(self, rule: dict):
+        vocab, merges = rule["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in rule["model"]["merges"]]
+        # bytes that are no visible character of Latin-1 have the characters from 256 on, in order
+        seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        signs = {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in seen)}
+        self.inner, self.last = (np.array([vocab[signs[b] + end] for b in range(256)], np.int32) for end in ("", "</w>"))
+        self.kinds = np.full(0x2100, self.SIGN, np.int8)
+        for letters in ("az", "ßö", "øž"):
+            self.kinds[ord(letters[0]) : ord(letters[1]) + 1] = self.LETTER
+        self.kinds[48:58], self.kinds[32] = self.DIGIT, 0
+        # ranks of pairs lie in slots; the pairs whose slot another one has are sorted
+        pairs = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
+        slots = self._slots(pairs)
+        self.pairs, self.rank = np.full(1 << self.SLOTS, -1, np.int64), np.full(1 << self.SLOTS, self.NONE, np.int32)
+        self.pairs[slots], self.rank[slots] = pairs, np.arange(len(pairs))
+        self.rest_rank = np.flatnonzero(self.pairs[slots] != pairs)
+        self.rest_rank = self.rest_rank[np.argsort(pairs[self.rest_rank])].astype(np.int32)
+        # a last one above all pairs
+        self.rest, self.rest_rank = np.append(pairs[self.rest_rank], 2**62), np.append(self.rest_rank, self.NONE)
+        self.shared = np.zeros(1 << self.SLOTS, bool)
+        self.shared[self._slots(self.rest[:-1])] = True
+        self.added = [t["content"][:2] for t in rule["added_tokens"]]
+
+    @classmethod
+    def of_file(cls, path: str) -> Merges | None:
+        """None if the tokenizer follows another rule."""
+        with open(path, encoding="utf-8") as f:
+            rule = json.load(f)
+        model = {k: v for k, v in rule["model"].items() if k not in ("vocab", "merges")}
+        known = rule | {"model": model} == rule | cls.RULE and all(t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) and len(t["content"]) > 1 for t in rule["added_tokens"])
+        return cls(rule) if known else None
+
+    def plain(self, word: str) -> bool:
+        return self.PLAIN(word) is not None and not ("<" in word and any(t in word for t in self.added))
+
+    def _slots(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs ^ (pairs >> 25)) * -7046029254386353131 >> (64 - self.SLOTS)) & ((1 << self.SLOTS) - 1)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pairs = (a.astype(np.int64) << 32) | b
+        slots = self._slots(pairs)
+        hit = self.pairs[slots] == pairs
+        out = np.where(hit, self.rank[slots], self.NONE)
+        if len(more := np.flatnonzero(~hit & self.shared[slots])):
+            at = np.searchsorted(self.rest, pairs[more])
+            out[more] = np.where(self.rest[at] == pairs[more], self.rest_rank[at], self.NONE)
+        return out
+
+    def _cut(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words joined by blanks: the bytes of all words, and where parts and words start in them.
+
+        Parts are runs of letters, single digits, runs of signs, and 's 't 're 've 'm 'll 'd where a part may start.
+        """
+        signs = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+        kinds = self.kinds[signs]
+        before = np.append(np.int8(0), kinds[:-1])
+        new = (kinds != before) | (kinds == self.DIGIT)
+        at = np.flatnonzero((signs == ord("'")) & (before != self.SIGN))
+        after = np.append(signs, [0, 0, 0])
+        one, two = after[at + 1], after[at + 1] << 8 | after[at + 2]
+        single, double = np.isin(one, [ord(c) for c in "stmd"]), np.isin(two, [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")])
+        new = np.append(new, [False] * 3)
+        new[at[single | double] + 1] = False
+        new[at[single] + 2] = new[at[double] + 3] = True
+        new = new[: len(signs)] & (kinds != 0)
+        size = np.where(kinds == 0, 0, 1 + (signs >= 0x80) + (signs >= 0x800))
+        starts = np.cumsum(size) - size
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return raw[raw != 32], starts[new], starts[(before == 0) & (kinds != 0)]
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: in each of its parts the pair of bytes or merges of the lowest rank, the first of equal ones, is merged until none is left.
+
+        All parts merge a pair a turn; those without one are done and leave.
+        """
+        raw, starts, heads = self._cut(" ".join(words).lower())
+        sizes = np.diff(np.append(starts, len(raw)))
+        out, place, ids = np.full(len(raw), -1, np.int32), np.arange(len(raw)), self.inner[raw]
+        ids[starts + sizes - 1] = self.last[raw[starts + sizes - 1]]
+        ranks = np.append(self._ranks(ids[:-1], ids[1:]), self.NONE)
+        ranks[starts + sizes - 1] = self.NONE
+        while len(starts):
+            best = np.minimum.reduceat(ranks, starts)
+            live = best != self.NONE
+            if not live.all():
+                on = np.repeat(live, sizes)
+                out[place[~on]] = ids[~on]
+                place, ids, ranks, sizes, best = place[on], ids[on], ranks[on], sizes[live], best[live]
+                if not len(sizes):
+                    break
+            part = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.flatnonzero(ranks == best[part])
+            at = at[np.diff(part[at], prepend=-1) != 0]
+            ids[at] = self.made[best]
+            on = np.ones(len(ids), bool)
+            on[at + 1] = False
+            place, ids, ranks, sizes = place[on], ids[on], ranks[on], sizes - 1
+            at -= np.arange(len(at))
+            starts = np.cumsum(sizes) - sizes
+            ranks[at] = self.NONE
+            pairs = np.concatenate([at[at > starts] - 1, at[at < starts + sizes - 1]])
+            ranks[pairs] = self._ranks(ids[pairs], ids[pairs + 1])
+        kept = out >= 0
+        edges = (4 * np.append((np.cumsum(kept) - kept)[heads], kept.sum())).tolist()
+        tokens = out[kept].astype("<u4").tobytes()
+        return [tokens[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
 class Bins:
     """Sequences being filled; each has tokens, documents and attention cost (sum of squared lengths) left.
 
