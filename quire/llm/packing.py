@@ -8,57 +8,99 @@ import math
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quire.llm.common import WORD, written
+from quire.llm.common import written
 
 LENGTH = 4096
 END_ID = 1
 #: Pieces that one task packs; the sequences it leaves part-filled are a handful.
 GROUP = 100_000
-#: Encoded words in one of the two generations that a worker keeps, and texts encoded at once.
-CACHE, TEXTS = 400_000, 128
+#: Encoded words in one of the two generations that a worker keeps; bytes of texts, and distinct words of them, encoded at once.
+CACHE, PORTION, WORDS = 400_000, 8 << 20, 16_384
 _PACKED = (("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("sequence_id", "long"), ("offset", "long"))
 
 
 class Encoder:
-    """Texts -> ids as little-endian 32-bit bytes, equal to encoding the whole texts.
+    """Texts -> ids, equal to encoding the whole texts.
 
-    The tokenizer drops white space and no token spans it, so each word is encoded once and kept. Words kept fall in two
-    generations of at most CACHE; when the young one is full it becomes the old one, and old words that come again move back.
+    The tokenizer drops white space and no token spans it, so each distinct word of many texts is encoded once. Words that
+    need the tokenizer are kept, in two generations of at most CACHE; when the young one is full it becomes the old one, and
+    old words that come again move back.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.young, self.old, self.words_of = Tokenizer.from_file(path), {}, {}, re.compile(WORD).findall
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
         self.merges = Merges.of_file(path)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # str.split also splits at wide spaces, which the tokenizer drops, and at four controls, which it does not
-        words = [self.words_of(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        """Ids of each text as little-endian 32-bit bytes."""
+        ids, edges = self.encode_all(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+
+    def encode_all(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, list[int]]:
+        """Ids of all texts in a row, the id end after each of them if one is given, and where texts start and end there. Null texts are empty.
+
+        Words are split and told apart on arrays; only distinct ones are encoded.
+        """
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        rows = words.offsets.to_numpy().astype(np.int64)
+        rows -= rows[0]
+        coded = words.flatten().dictionary_encode()
+        at, (ids, sizes) = coded.indices.to_numpy(), self._distinct(coded.dictionary)
+        if end is not None:
+            at, rows = np.insert(at, rows[1:], len(sizes)), rows + np.arange(len(rows))
+            ids, sizes = np.append(ids, np.uint32(end)), np.append(sizes, 1)
+        starts, sizes = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.append(0, np.cumsum(sizes))
+        starts -= ends[:-1]
+        places = np.repeat(starts, sizes)
+        places += np.arange(len(places))
+        return ids[places], ends[rows].tolist()
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after another, and how many each has."""
+        plain = self.merges.plain_ones(words) if self.merges else np.zeros(len(words), bool)
+        known = words.filter(pa.array(plain))
+        groups = [self.merges.encode(known.slice(k, WORDS)) for k in range(0, len(known), WORDS)]
+        ids, sizes = zip(*groups, strict=True) if groups else ([], [])
+        if plain.all():
+            return np.concatenate([np.empty(0, "<u4"), *ids]), np.concatenate([np.empty(0, np.int64), *sizes])
+        rest = self._asked(words.filter(pa.array(~plain)).to_pylist())
+        mixed = np.empty(len(words), np.int64)
+        mixed[~plain] = [len(x) // 4 for x in rest]
+        if groups:
+            mixed[plain] = np.concatenate(sizes)
+        out, whose = np.empty(mixed.sum(), "<u4"), np.repeat(plain, mixed)
+        out[~whose] = np.frombuffer(b"".join(rest), "<u4")
+        if groups:
+            out[whose] = np.concatenate(ids)
+        return out, mixed
+
+    def _asked(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, kept for later texts."""
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
-        get = self.young.get
-        found = [list(map(get, ws)) for ws in words]
-        new = {w for ws, ids in zip(words, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}
         fresh = []
-        for w in new:
-            if (x := self.old.get(w)) is not None:
-                self.young[w] = x
-            else:
-                fresh.append(w)
+        for w in words:
+            if w not in self.young:
+                if (x := self.old.get(w)) is not None:
+                    self.young[w] = x
+                else:
+                    fresh.append(w)
         if fresh:
             self._learn(fresh)
-        return [b"".join([get(w) if x is None else x for w, x in zip(ws, ids, strict=True)] if None in ids else ids) for ws, ids in zip(words, found, strict=True)]
+        return [self.young[w] for w in words]
 
     @staticmethod
     @functools.lru_cache(maxsize=1)
@@ -70,7 +112,9 @@ class Encoder:
         """Words of plain characters by merges, all at once; the others by the tokenizer."""
         plain = [w for w in fresh if self.merges.plain(w)] if self.merges else []
         if plain:
-            self.young.update(zip(plain, self.merges.encode(plain), strict=True))
+            ids, sizes = self.merges.encode(pa.array(plain))
+            edges = np.append(0, np.cumsum(sizes)).tolist()
+            self.young.update((w, ids[a:b].tobytes()) for w, a, b in zip(plain, edges, edges[1:], strict=False))
         if len(plain) < len(fresh) and (rest := [w for w in fresh if w not in self.young]):
             self._ask(rest)
 
@@ -93,7 +137,8 @@ class Merges:
     version of Unicode. Words of over 64 characters and what may hold an added token are left to the tokenizer.
     """
 
-    PLAIN = re.compile("[!-~×÷¿¡«»“”‘’–—…€À-ÖØ-öø-įı-ž]{1,64}").fullmatch
+    SIGNS, LONGEST = "!-~×÷¿¡«»“”‘’–—…€À-ÖØ-öø-įı-ž", 64
+    PLAIN = re.compile(f"[{SIGNS}]{{1,{LONGEST}}}").fullmatch
     LETTER, DIGIT, SIGN = 1, 2, 3
     NONE = np.int32(2**31 - 1)
     SLOTS = 18
@@ -129,7 +174,7 @@ class Merges:
         self.rest, self.rest_rank = np.append(pairs[self.rest_rank], 2**62), np.append(self.rest_rank, self.NONE)
         self.shared = np.zeros(1 << self.SLOTS, bool)
         self.shared[self._slots(self.rest[:-1])] = True
-        self.added = [t["content"][:2] for t in rule["added_tokens"]]
+        self.added = sorted({t["content"][:2] for t in rule["added_tokens"]})
 
     @classmethod
     def of_file(cls, path: str) -> Merges | None:
@@ -143,6 +188,13 @@ class Merges:
     def plain(self, word: str) -> bool:
         return self.PLAIN(word) is not None and not ("<" in word and any(t in word for t in self.added))
 
+    def plain_ones(self, words: pa.Array) -> np.ndarray:
+        """plain, of each of many words."""
+        odd = pc.match_substring_regex(words, f"^$|[^{self.SIGNS}]").to_numpy(zero_copy_only=False) | (pc.utf8_length(words).to_numpy() > self.LONGEST)
+        for t in self.added:
+            odd |= pc.match_substring(words, t).to_numpy(zero_copy_only=False)
+        return ~odd
+
     def _slots(self, pairs: np.ndarray) -> np.ndarray:
         return ((pairs ^ (pairs >> 25)) * -7046029254386353131 >> (64 - self.SLOTS)) & ((1 << self.SLOTS) - 1)
 
@@ -178,12 +230,12 @@ class Merges:
         raw = np.frombuffer(text.encode(), np.uint8)
         return raw[raw != 32], starts[new], starts[(before == 0) & (kinds != 0)]
 
-    def encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each word: in each of its parts the pair of bytes or merges of the lowest rank, the first of equal ones, is merged until none is left.
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words, one after another, and how many each has: in each of its parts the pair of bytes or merges of the lowest rank, the first of equal ones, is merged until none is left.
 
         All parts merge a pair a turn; those without one are done and leave.
         """
-        raw, starts, heads = self._cut(" ".join(words).lower())
+        raw, starts, heads = self._cut(" ".join(words.to_numpy(zero_copy_only=False)).lower())
         sizes = np.diff(np.append(starts, len(raw)))
         out, place, ids = np.full(len(raw), -1, np.int32), np.arange(len(raw)), self.inner[raw]
         ids[starts + sizes - 1] = self.last[raw[starts + sizes - 1]]
@@ -211,9 +263,7 @@ class Merges:
             pairs = np.concatenate([at[at > starts] - 1, at[at < starts + sizes - 1]])
             ranks[pairs] = self._ranks(ids[pairs], ids[pairs + 1])
         kept = out >= 0
-        edges = (4 * np.append((np.cumsum(kept) - kept)[heads], kept.sum())).tolist()
-        tokens = out[kept].astype("<u4").tobytes()
-        return [tokens[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        return out[kept].astype("<u4"), np.add.reduceat(kept, heads, dtype=np.int64)
 
 
 class Bins:
@@ -272,21 +322,28 @@ class Bins:
         return bin_, self.cap[0] - left[0]
 
 
+def _portions(texts: pa.Array) -> list[tuple[int, int]]:
+    """Rows in portions of about PORTION bytes, as first row and number of rows; all rows are in one."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    firsts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // PORTION, prepend=-1)).tolist()
+    return [(a, b - a) for a, b in zip(firsts, [*firsts[1:], len(sizes)], strict=False)]
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row a piece of each row of docs: id, piece, start, length, ids_crc32. Null and empty texts are their end id alone."""
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T._parse_datatype_string(k)) for n, k in _PACKED[:4])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of_worker(tokenizer), array("I", [END_ID]).tobytes()
+        encoder = Encoder.of_worker(tokenizer)
         for batch in batches:
-            ids, rows = batch.column(0), ([], [], [], [], [])
-            for first in range(0, batch.num_rows, TEXTS):
-                texts = [x or "" for x in batch.column(1).slice(first, TEXTS).to_pylist()]
-                for at, buf in enumerate(encoder.encode(texts), first):
-                    buf += end
-                    for k, start in enumerate(range(0, len(buf), 4 * length)):
-                        part = buf[start : start + 4 * length]
-                        for column, v in zip(rows, (at, k, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+            ids, texts, rows = batch.column(0), batch.column(1), ([], [], [], [], [])
+            for first, n in _portions(texts):
+                tokens, edges = encoder.encode_all(texts.slice(first, n), END_ID)
+                tokens = memoryview(tokens.view(np.uint8))
+                for at in range(n):
+                    for k, start in enumerate(range(edges[at], edges[at + 1], length)):
+                        stop = min(start + length, edges[at + 1])
+                        for column, v in zip(rows, (first + at, k, k * length, stop - start, zlib.crc32(tokens[4 * start : 4 * stop])), strict=True):
                             column.append(v)
             columns = [ids.take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "piece", "start", "length", "ids_crc32"])

@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tokenizers")
 
+from quire.llm import packing
 from quire.llm.packing import Encoder
 from quire.llm.queries import tokenizer_path
 
@@ -44,3 +46,32 @@ def test_other_rules_have_no_merges(tmp_path):
     encoder = Encoder(str(other))
     assert encoder.merges is None
     assert encoder.encode(["Été"]) == [b"".join(i.to_bytes(4, "little") for i in encoder.tokenizer.encode("Été", add_special_tokens=False).ids)]
+
+
+def test_texts_at_once(monkeypatch):
+    """Many texts in a row are each as if encoded whole, with any white space, words that need the tokenizer, nulls and empty ones; a slice is as its texts."""
+    monkeypatch.setattr(packing, "WORDS", 1_000)
+    r, words = random.Random(9), _words()
+    texts = [None, "", "  ", *["".join(r.choice(words) + r.choice([" ", "\n", "\t\r ", "\x0b\x0c", "\xa0", "\u3000", "\x1c"]) for _ in range(r.randint(0, 60))) for _ in range(300)], None]
+    encoder = Encoder(tokenizer_path())
+    for first, n in ((0, len(texts)), (2, 150)):
+        ids, edges = encoder.encode_all(pa.array(texts).slice(first, n), 1)
+        want = [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts[first : first + n]]
+        assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == want
+    assert encoder.encode_all(pa.array([], pa.string()), 1)[1] == [0] and encoder.encode([]) == []
+
+
+def test_words_of_many_texts_are_looked_up_once():
+    """What took most of op8_packing's time."""
+    encoder, seen = Encoder(tokenizer_path()), []
+    of_words = encoder.merges.encode
+    encoder.merges.encode = lambda words: seen.extend(words.to_pylist()) or of_words(words)
+    assert len(set(encoder.encode(["one two two", "two one"] * 500))) == 2
+    assert seen == ["one", "two"]
+
+
+def test_portions_have_every_row(monkeypatch):
+    monkeypatch.setattr(packing, "PORTION", 10)
+    for texts in ([], [None], ["", None, "a" * 25, "b", "", "c" * 9, "d" * 9, None]):
+        got = packing._portions(pa.array(texts, pa.string()))
+        assert [k for first, n in got for k in range(first, first + n)] == list(range(len(texts)))
