@@ -15,7 +15,7 @@ NUM, DEN = 4, 5
 BUCKETS = 20
 #: Levels of rarity a doubling; a level fits seven bits.
 FINE = 4
-#: Asked texts are marked in 2^MARKS words of 64 bits: a megabyte, whatever the corpus.
+#: Asked texts, and classes, are marked in 2^MARKS words of 64 bits: a megabyte, whatever the corpus.
 MARKS = 17
 
 
@@ -161,6 +161,7 @@ def _sharing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     other prefix too. A set of n has at most n - overlap tokens of its own, so the prefixes share at least the rest of that one.
     """
     side = lambda x: classes.select(F.col("c").alias(x), F.struct("c", "id", "t", "no").alias(f"at_{x}"), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}"))
+    classes = _marked(classes, pairs.select(F.explode(F.array("a", "b")).alias("c")), ["c"])  # few of them are in pairs, and they are wide
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     least = F.least(*[_prefix_size(F.col(x)) - F.col(x) + _overlap(F.col("n_a"), F.col("n_b")) for x in ("n_a", "n_b")])
     return both.filter(F.size(F.array_intersect("prefix_a", "prefix_b")) >= least).select("a", "b", "at_a", "at_b")
