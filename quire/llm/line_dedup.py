@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WHITE, free_name, words_of, written
+from quire.llm.common import FAST_MAP, WHITE, free_name, words_of, written
 
 #: Similarity of word sets from which the later line goes: NUM / DEN.
 NUM, DEN = 4, 5
@@ -32,9 +32,13 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(_plain(F.replace(text, F.lit("\n"), F.lit(" "))), " "), "")
 
 
+def _line_words(line: Column) -> Column:
+    return F.array_remove(F.split(_plain(line), " "), "")
+
+
 def _tokens(line: Column) -> Column:
     """Distinct words of a line, as 64-bit hashes."""
-    return F.array_distinct(F.transform(F.array_remove(F.split(_plain(line), " "), ""), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(_line_words(line), lambda w: F.xxhash64(w)))
 
 
 def shingles(text: Column, n: int = 5) -> Column:
@@ -66,7 +70,8 @@ def _table(rows: DataFrame, size: int, merge: Callable[[Column], Column], value:
     merged = rows.groupBy("b").agg(merge(F.col("v")).alias("v")).unionByName(every).groupBy("b").agg(value(merge(F.col("v"))).alias("k"))
     values = lambda name: F.transform(F.sort_array(F.collect_list(F.struct(name, "k"))), lambda x: x["k"])
     parts = merged.groupBy(F.shiftright("b", 10).alias("p")).agg(values("b").alias("k"))
-    return written(parts.groupBy().agg(F.flatten(values("p")).alias("cells")))
+    # a task's places fit the hash map of compiled code, which by default holds 2^16 keys and leaves others to a slower one
+    return written(parts.groupBy().agg(F.flatten(values("p")).alias("cells")), conf={FAST_MAP: str(max(size, 16))})
 
 
 def rarity(docs: DataFrame, text_col: str, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -76,7 +81,7 @@ def rarity(docs: DataFrame, text_col: str, tokens: Callable[[Column], Column] |
     coarser than counts.
     """
     found = docs.select(F.explode((tokens or _words)(F.col(text_col))).alias("w"))
-    found = found.select(_bucket(F.col("w") if tokens else F.xxhash64("w")).alias("b"), F.lit(1).cast("long").alias("v"))
+    found = found.select(_bucket(F.col("w") if tokens else F.hash("w")).alias("b"), F.lit(1).cast("long").alias("v"))
     return _table(found, BUCKETS, F.sum, lambda n: F.least(F.lit(126), F.floor(F.log2(n + 1) * FINE)).cast("tinyint"))
 
 
@@ -88,6 +93,18 @@ def _marked(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     return rows.filter(F.get(marks.scalar(), place).bitwiseAND(_bit(h)) != 0)
 
 
+def _keys(line: Column, levels: Column, tokens: Callable[[Column], Column] | None = None) -> Column:
+    """Distinct tokens of a line (of words, without tokens) in order of rarity: a byte of the table of levels, then 56 bits of hash each.
+
+    A word gives its place in the table and its hash at once, so words need no array of hashes in between.
+    """
+    place, h = ((lambda w: w), (lambda w: w)) if tokens else (F.hash, F.xxhash64)
+    # never null, and said to be so: such arrays of numbers are sorted as they are, without an object for each
+    level = lambda w: F.coalesce(F.get(levels, _bucket(place(w))), F.lit(0).cast("tinyint"))
+    key = lambda w: F.shiftleft(level(w).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h(w), 8))
+    return F.sort_array(F.array_distinct(F.transform((tokens or _line_words)(line), key)))
+
+
 def _up(a: Column, num: int, den: int) -> Column:
     """ceil(a * num / den) of whole numbers."""
     return F.floor((a * num + (den - 1)) / den).cast("int")
@@ -210,20 +227,18 @@ def dedup_lines(
        token, is joined.
     3. First each class meets only the earliest class of each of its prefix tokens, which is linear in any group of
        near copies. Classes found similar there are done; the others, as later lines, meet all that pass the filters of length, bits, places and shared tokens.
-    4. Similarity is computed from the tokens of both lines. (Tokens are 64-bit hashes of words.)
+    4. Similarity is computed from the tokens of both lines. (Tokens are 64-bit hashes of words; the sizes that filters go by count 56 bits a token.)
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed")])
     text = F.col(text_col)
-    table = rarity(docs, text_col, None if tokens is _tokens else tokens).scalar()
+    own = None if tokens is _tokens else tokens
+    table = rarity(docs, text_col, own).scalar()
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), table.alias("levels"), F.posexplode(parts(text)).alias("no", "line"))
-    # never null, and said to be so: such arrays of numbers are sorted as they are, without an object for each
-    level = lambda h: F.coalesce(F.get("levels", _bucket(h)), F.lit(0).cast("tinyint"))
-    key = lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     # the row of levels is used in one place, so the optimizer moves its subquery there and no row carries it
-    lines = lines.filter(F.ltrim("line", F.lit(WHITE)) != "").select("id", "t", "no", F.sort_array(F.transform(tokens(F.col("line")), key)).alias("s"))
+    lines = lines.filter(F.ltrim("line", F.lit(WHITE)) != "").select("id", "t", "no", _keys(F.col("line"), F.col("levels"), own).alias("s"))
     n = F.size("s")
     # in prefixes 31 bits of a token do: equal ones by chance are only candidates that the filters and the similarity turn down
-    short = lambda k: F.shiftrightunsigned(F.shiftleft(k, 8), 33).cast("int")
+    short = lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
     lines = lines.select(
         "id", "t", "no", n.alias("n"), F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(1), "s").alias("c2"),
         F.aggregate("s", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_bit(k))).alias("bits"), F.transform(F.slice("s", 1, _prefix_size(n)), short).alias("prefix"),

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from quire.llm import line_dedup as d
-from quire.llm.common import words_of
+from quire.llm.common import FAST_MAP, words_of
 
 
 def test_words_as_words_of(spark):
@@ -47,3 +47,21 @@ def test_marked_texts(spark):
     got = {r.id for r in d._marked(rows, asked, ["id", "t"]).collect()}
     assert {r.id for r in asked.collect()} <= got and len(got) < 200
     assert d._marked(rows, asked.limit(0), ["id", "t"]).count() == 0
+
+
+def test_keys_of_words(spark):
+    """A line's keys are those of its distinct words, rarer ones first, in an array that is said to hold no null; settings are as before."""
+    before = spark.conf.get(FAST_MAP)
+    docs = spark.createDataFrame([("a b a\nrare\tb",), (None,), ("a a b  c é",)], "text string")
+    table = d.rarity(docs, "text")
+    assert spark.conf.get(FAST_MAP) == before
+    rows = docs.select(table.scalar().alias("levels"), F.explode(F.split("text", "\n")).alias("line")).select("line", d._keys(F.col("line"), F.col("levels")).alias("s"))
+    assert not rows.schema["s"].dataType.containsNull
+    got = {r.line: r.s for r in rows.collect()}
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in ("a", "b", "c", "rare", "é")], "w string").select("w", F.shiftrightunsigned(F.xxhash64("w"), 8).alias("h")).collect()}
+    for line, s in got.items():
+        assert s == sorted(s) and sorted(k & (1 << 56) - 1 for k in s) == sorted(hashes[w] for w in {*line.split()})
+    level = {w: k >> 56 for s in got.values() for k in s for w in hashes if hashes[w] == k & (1 << 56) - 1}
+    assert level["a"] > level["b"] > level["c"] == level["rare"] == level["é"] > 0
+    tokens = lambda c: F.array(F.lit(3 << 40), F.lit(7 << 40))
+    assert [k & (1 << 56) - 1 for k in rows.limit(1).select(d._keys(F.col("line"), F.array(F.lit(1).cast("tinyint")), tokens).alias("s")).first().s] == [3 << 32, 7 << 32]
